@@ -100,3 +100,36 @@ def order_drift_split(spark: SparkSession, sf_dir: str, cutoff: str = "1999-01-0
     ref = orders.where(F.col("o_orderdate") < F.lit(cutoff).cast("timestamp_ntz")).drop("o_orderdate")
     new = orders.where(F.col("o_orderdate") >= F.lit(cutoff).cast("timestamp_ntz")).drop("o_orderdate")
     return ref, new
+
+
+def registry_tables(spark: SparkSession, sf_dir: str):
+    """Registry state derived from the star schema (see ``plans/q_registry``):
+
+    users       one per customer: username, full name, organisation (region), role;
+    versions    one model version per order, owned by the ordering customer;
+    activations one per fulfilled order ('F'), one day after its registration.
+    """
+    customer = read_table(spark, sf_dir, "customer")
+    nation = read_table(spark, sf_dir, "nation")
+    orders = read_table(spark, sf_dir, "orders")
+    cust = (customer.join(F.broadcast(nation.select("n_nationkey", "n_regionkey")),
+                          customer.c_nationkey == nation.n_nationkey)
+            .select("c_custkey", F.lower("c_name").alias("username"), F.col("c_name").alias("full_name"),
+                    F.col("n_regionkey").cast("int").alias("region"), "c_acctbal", "c_mktsegment"))
+    users = cust.select("username", "full_name", F.col("region").alias("organisation_id"),
+                        F.when(F.col("c_custkey") % 50 == 1, "admin").otherwise("operateur").alias("role"))
+    target = (F.when(F.col("c_mktsegment") == "BUILDING", "Exited")
+              .when(F.col("c_mktsegment") == "AUTOMOBILE", "Attrition").otherwise("Churn"))
+    versions = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        F.concat(F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"), F.lit("_"), F.col("o_orderkey").cast("string"))
+        .alias("version"),
+        F.col("o_orderdate").alias("ts"), "username",
+        F.when(F.col("c_acctbal") < 0, F.lit(None).cast("int")).otherwise(F.col("region")).alias("organisation_id"),
+        target.alias("target"),
+        F.concat(F.lower("c_mktsegment"), F.lit("_clients.csv")).alias("dataset"),
+        F.col("o_orderpriority").alias("algorithm"),
+        F.split(F.concat_ws(",", F.lit("f"), F.substring("o_orderpriority", 1, 1)), ",").alias("features"),
+        F.col("o_orderstatus").alias("status"))
+    activations = versions.where(F.col("status") == "F").select(
+        F.col("username").alias("scope"), "version", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    return users, versions.drop("status"), activations, versions.select("version", "status")
