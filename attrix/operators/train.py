@@ -145,22 +145,35 @@ def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = split.where(F.col("is_test"))
     n_rows = train.count()
-    models = models or catalogue(True, n_rows)
+    if models is None or isinstance(models, (list, tuple)):
+        # Names (or nothing): take them from the catalogue sized for this training set.
+        full = {**catalogue(False, n_rows), **catalogue(True, n_rows)}
+        models = {n: full[n] for n in models} if models else catalogue(True, n_rows)
     rows = []
-    for ordinal, (name, est) in enumerate(models.items()):
-        fold_metrics = []
-        for f in range(folds):
-            fit_on = _balanced(train.where(F.col("fold") != f), balance, key)
-            m = Pipeline(stages=prep.stages + [_with_weight(est, balance)]).fit(fit_on)
-            r = evaluate_predictions(_proba(m, train.where(F.col("fold") == f)))
-            fold_metrics.append((r["auc"], r["f1"], r["accuracy"]))
-        m = Pipeline(stages=prep.stages + [_with_weight(est, balance)]).fit(_balanced(train, balance, key))
-        t = evaluate_predictions(_proba(m, test))
-        cv = list(zip(*fold_metrics))
-        mean = lambda v: sum(v) / len(v)
-        std = lambda v: math.sqrt(sum((x - mean(v)) ** 2 for x in v) / len(v))
-        rows.append((ordinal, name, mean(cv[0]), std(cv[0]), mean(cv[1]), std(cv[1]), mean(cv[2]), std(cv[2]),
-                     t["auc"], t["f1"], t["accuracy"], t["precision"], t["recall"]))
+    # Fold fits and the train/test fit of one model are independent Spark jobs:
+    # submit them from a few driver threads, bounded like the reference's
+    # min(folds, cores / 2) workers.
+    workers = max(1, min(folds + 1, spark.sparkContext.defaultParallelism // 2))
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit_eval(est, fit_df, eval_df):
+        # Fresh copies per thread: estimators hold their JVM peer while fitting.
+        stages = [s.copy() for s in prep.stages] + [_with_weight(est.copy(), balance)]
+        m = Pipeline(stages=stages).fit(_balanced(fit_df, balance, key))
+        return evaluate_predictions(_proba(m, eval_df))
+
+    mean = lambda v: sum(v) / len(v)
+    std = lambda v: math.sqrt(sum((x - mean(v)) ** 2 for x in v) / len(v))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        for ordinal, (name, est) in enumerate(models.items()):
+            jobs = [pool.submit(fit_eval, est, train.where(F.col("fold") != f), train.where(F.col("fold") == f))
+                    for f in range(folds)]
+            test_job = pool.submit(fit_eval, est, train, test)
+            fold_metrics = [(r["auc"], r["f1"], r["accuracy"]) for r in (j.result() for j in jobs)]
+            t = test_job.result()
+            cv = list(zip(*fold_metrics))
+            rows.append((ordinal, name, mean(cv[0]), std(cv[0]), mean(cv[1]), std(cv[1]), mean(cv[2]), std(cv[2]),
+                         t["auc"], t["f1"], t["accuracy"], t["precision"], t["recall"]))
     board = spark.createDataFrame(rows, LEADERBOARD_SCHEMA)
     board = E.select_best(board, "test_roc_auc", "test_f1")
     best = board.where("selected").first()["model"]

@@ -136,28 +136,27 @@ def leaderboard(spark, sf):
                         r4("accuracy").alias("test_accuracy"), "selected")
 
 
-def _train_one(spark, sf, name, est_factory):
+def _train_one(spark, sf, name):
     df = fixtures.churn(spark, sf)
-    res = T.train_and_select(df, TARGET, KEY, ids=[KEY, "Surname"], leaks=[],
-                             models={name: est_factory()}, folds=3)
+    res = T.train_and_select(df, TARGET, KEY, ids=[KEY, "Surname"], leaks=[], models=[name], folds=3)
     return res.leaderboard
 
 
 @register("train_logreg")
 def train_logreg(spark, sf):
-    return _train_one(spark, sf, "Régression logistique", lambda: T.catalogue(True, None)["Régression logistique"])
+    return _train_one(spark, sf, "Régression logistique")
 
 
 @register("train_forest")
 def train_forest(spark, sf):
-    return _train_one(spark, sf, "Random Forest", lambda: T.catalogue(True)["Random Forest"])
+    return _train_one(spark, sf, "Random Forest")
 
 
 @register("train_gbt")
 def train_gbt(spark, sf):
-    return _train_one(spark, sf, "HistGradient Boosting", lambda: T.catalogue(True)["HistGradient Boosting"])
+    return _train_one(spark, sf, "HistGradient Boosting")
 
 
 @register("train_naive_bayes")
 def train_naive_bayes(spark, sf):
-    return _train_one(spark, sf, "Naive Bayes", lambda: T.catalogue(False)["Naive Bayes"])
+    return _train_one(spark, sf, "Naive Bayes")

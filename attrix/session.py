@@ -20,6 +20,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Let AQE switch a sort-merge join to a shuffled hash join when every
+    # post-shuffle partition of the build side is small (no sort of the big side,
+    # and no unbounded hash table: above the threshold the sort-merge join stays).
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

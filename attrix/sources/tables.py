@@ -32,3 +32,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         else:
             exprs.append(F.col(f.name))
     return df.select(*exprs)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the cluster has cores.
+
+    Text tables stored as a few large row groups scan as one task each; CPU-heavy
+    per-row work (chunking, tokenising) would then run on one core. On a large
+    multi-file table the scan already has enough partitions and this is a no-op.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target // per_core else df
