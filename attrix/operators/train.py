@@ -217,41 +217,86 @@ def _balanced(df: DataFrame, balance: str | None, key: str) -> DataFrame:
     return df
 
 
-def adaboost(df: DataFrame, features: str = "features", label: str = "label", rounds: int = 200,
-             checkpoint_every: int = 10) -> tuple[list[tuple[float, object]], DataFrame]:
-    """SAMME AdaBoost with depth-1 trees (``weightCol`` reweighting).
+@dataclass
+class StumpEnsemble:
+    features: list[str]
+    edges: dict                      # feature -> sorted inner bin edges
+    stumps: list = field(default_factory=list)   # (feature, threshold_bin, polarity, alpha)
+
+
+def _bin_col(c: str, edges: list[float]):
+    arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    v = F.col(c).cast("double")
+    return F.size(F.filter(arr, lambda e: e < v)).cast("int")
+
+
+def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200, bins: int = 32,
+             checkpoint_every: int = 10) -> StumpEnsemble:
+    """SAMME AdaBoost of depth-1 trees on binned features (histogram stumps).
 
-    Each round is one stump fit and one aggregate; the weight column is rebuilt
-    from the previous one, so lineage is cut with a reliable checkpoint every
+    One aggregation pass per round: the weighted positive/negative mass per
+    ``(feature, bin)`` - at most ``features x bins`` rows reach the driver, where
+    the best threshold and polarity are picked; the weight update is a
+    projection. Lineage is cut with a reliable checkpoint every
     ``checkpoint_every`` rounds.
     """
-    cur = df.select(features, label).withColumn("w", F.lit(1.0))
-    ensemble = []
+    probs = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]), 10000)
+                   .alias(f"e{i}") for i, c in enumerate(features)]).first()
+    edges = {c: sorted(set(float(x) for x in (row[f"e{i}"] or []))) for i, c in enumerate(features)}
+    y = F.col(label).cast("int")
+    cur = df.select(*[_bin_col(c, edges[c]).alias(f"__b{i}") for i, c in enumerate(features)],
+                    y.alias("__y"), F.lit(1.0).alias("__w"))
+    cur = cut_lineage(cur)          # the binned frame: every round reads it, not the input plan
+    model = StumpEnsemble(list(features), edges)
     for r in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, featuresCol=features, labelCol=label, weightCol="w",
-                                       predictionCol="__pred", probabilityCol="__prob",
-                                       rawPredictionCol="__raw").fit(cur)
-        scored = stump.transform(cur)
-        miss = (F.col("__pred") != F.col(label)).cast("double")
-        agg = scored.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("err")).first()
-        err = min(max(agg["err"], 1e-10), 1 - 1e-10)
+        long = cur.select("__y", "__w", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("f"), F.col(f"__b{i}").alias("b")) for i in range(len(features))])).alias("fb"))
+        hist = (long.groupBy("fb.f", "fb.b")
+                .agg(F.sum(F.col("__w") * F.col("__y")).alias("wp"),
+                     F.sum(F.col("__w") * (1 - F.col("__y"))).alias("wn")).collect())
+        best = None
+        per = {}
+        for h in hist:
+            per.setdefault(h["f"], {})[h["b"]] = (h["wp"], h["wn"])
+        total = sum(wp + wn for d in per.values() for wp, wn in d.values())
+        for f, d in per.items():
+            nb = len(edges[features[f]]) + 1
+            tot_p = sum(v[0] for v in d.values())
+            tot_n = sum(v[1] for v in d.values())
+            cp = cn = 0.0
+            for t in range(nb):                      # predict 1 when bin > t (polarity +1)
+                wp, wn = d.get(t, (0.0, 0.0))
+                cp, cn = cp + wp, cn + wn
+                err_pos = (cp + (tot_n - cn)) / total      # positives at or below t, negatives above
+                err_neg = ((tot_p - cp) + cn) / total
+                for err, pol in ((err_pos, 1), (err_neg, -1)):
+                    if best is None or err < best[0] - 1e-15:
+                        best = (err, f, t, pol)
+        err, f, t, pol = best
         if err >= 0.5:
             break
+        err = max(err, 1e-10)
         alpha = math.log((1 - err) / err)
-        ensemble.append((alpha, stump))
-        cur = scored.select(features, label, (F.col("w") * F.exp(F.lit(alpha) * miss)).alias("w"))
+        model.stumps.append((f, t, pol, alpha))
+        pred = _stump_pred(F.col(f"__b{f}"), t, pol)
+        cur = cur.withColumn("__w", F.col("__w") * F.exp(F.lit(alpha) * (pred != F.col("__y")).cast("double")))
         if (r + 1) % checkpoint_every == 0:
             cur = cut_lineage(cur)
-    return ensemble, cur
-
-
-def adaboost_scores(df: DataFrame, ensemble, features: str = "features") -> DataFrame:
-    """Decision function sum(alpha * (2*pred - 1)) mapped to [0,1] by a logistic link."""
-    out = df.withColumn("__f", F.lit(0.0))
-    for i, (alpha, stump) in enumerate(ensemble):
-        s = stump.copy()
-        s.setPredictionCol(f"__p{i}").setProbabilityCol(f"__pb{i}").setRawPredictionCol(f"__r{i}")
-        out = s.transform(out)
-        out = out.withColumn("__f", F.col("__f") + F.lit(alpha) * (2 * F.col(f"__p{i}") - 1)).drop(
-            f"__p{i}", f"__pb{i}", f"__r{i}")
-    return out.withColumn("p", 1 / (1 + F.exp(-2 * F.col("__f")))).drop("__f")
+        if err <= 1e-10:
+            break
+    return model
+
+
+def _stump_pred(b, t: int, pol: int):
+    return F.when(b > t, F.lit(1 if pol == 1 else 0)).otherwise(F.lit(0 if pol == 1 else 1))
+
+
+def adaboost_scores(df: DataFrame, model: StumpEnsemble) -> DataFrame:
+    """P(class 1) = sigmoid(2 * sum(alpha * (2*pred - 1)) / sum(alpha)), one column expression."""
+    bins = {c: _bin_col(c, model.edges[c]) for c in model.features}
+    total = sum(a for *_, a in model.stumps) or 1.0
+    f = F.lit(0.0)
+    for fi, t, pol, alpha in model.stumps:
+        f = f + F.lit(alpha) * (2 * _stump_pred(bins[model.features[fi]], t, pol) - 1)
+    return df.withColumn("p", 1 / (1 + F.exp(-2 * f / total)))

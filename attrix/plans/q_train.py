@@ -160,3 +160,45 @@ def train_gbt(spark, sf):
 @register("train_naive_bayes")
 def train_naive_bayes(spark, sf):
     return _train_one(spark, sf, "Naive Bayes")
+
+
+_KNN_FEATURES = ["Age", "NumOfProducts", "Tenure", "IsActiveMember", "Balance"]
+
+
+def _standardised(spark, sf):
+    """Churn rows with the k-NN features standardised (one aggregate for means/stds)."""
+    c = fixtures.churn(spark, sf)
+    st = c.agg(*[F.avg(f).alias(f"m_{f}") for f in _KNN_FEATURES],
+               *[F.stddev_pop(f).alias(f"s_{f}") for f in _KNN_FEATURES]).first()
+    return c.select(KEY, TARGET, *[((F.col(f) - st[f"m_{f}"]) / (st[f"s_{f}"] or 1.0)).alias(f) for f in _KNN_FEATURES])
+
+
+@register("knn_predict")
+def knn_predict(spark, sf):
+    """k = 15 nearest training customers (exact) for every test customer."""
+    from ..operators.neighbors import knn_predict as kp
+    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY)
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    p = kp(test, train, _KNN_FEATURES, TARGET, 15, KEY, KEY)
+    return p.join(test.select(KEY, TARGET), KEY).select(KEY, TARGET, F.rint(F.col("p") * 1e9) / 1e9)
+
+
+@register("smote")
+def smote(spark, sf):
+    """Minority customers oversampled to parity on the training split."""
+    from ..operators.neighbors import smote as sm
+    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY).where(~F.col("is_test")).drop(
+        "class_rank", "class_n", "is_test")
+    out = sm(s, TARGET, KEY, _KNN_FEATURES, k=5)
+    return out.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"),
+                                   *[F.round(F.avg(f), 6).alias(f"mean_{f}") for f in _KNN_FEATURES])
+
+
+@register("adaboost")
+def adaboost(spark, sf):
+    """SAMME AdaBoost of 200 stumps trained on the train split; test AUC."""
+    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY)
+    model = T.adaboost(s.where(~F.col("is_test")), _KNN_FEATURES, TARGET, rounds=200)
+    test = T.adaboost_scores(s.where(F.col("is_test")), model)
+    auc = E.roc_auc(test, TARGET, "p")
+    return auc.select("n_pos", "n_neg", F.rint(F.col("auc") * 1e9) / 1e9, F.lit(len(model.stumps)).alias("rounds"))

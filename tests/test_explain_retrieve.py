@@ -110,14 +110,41 @@ def test_stream_equals_batch(spark):
 
 
 def test_adaboost_beats_chance(spark):
-    from pyspark.ml.feature import VectorAssembler
     from attrix.operators.train import adaboost, adaboost_scores
     from attrix.operators.evaluate import roc_auc
     from attrix.sources import fixtures
-    df = fixtures.churn(spark, SF_SMALL).select("Age", "IsActiveMember", "NumOfProducts", F.col("Exited").cast("double").alias("label"))
-    va = VectorAssembler(inputCols=["Age", "IsActiveMember", "NumOfProducts"], outputCol="features")
-    data = va.transform(df)
-    ens, _ = adaboost(data, rounds=5, checkpoint_every=2)
-    assert len(ens) >= 1
-    auc = roc_auc(adaboost_scores(data, ens).withColumn("y", F.col("label").cast("int")), "y", "p").first()["auc"]
+    df = fixtures.churn(spark, SF_SMALL)
+    model = adaboost(df, ["Age", "IsActiveMember", "NumOfProducts"], "Exited", rounds=5, checkpoint_every=2)
+    assert 1 <= len(model.stumps) <= 5
+    auc = roc_auc(adaboost_scores(df, model), "Exited", "p").first()["auc"]
     assert auc > 0.6
+
+
+def test_knn_is_exact_against_brute_force(spark):
+    import random
+    from attrix.operators.neighbors import brute_force_knn, knn
+    rnd = random.Random(7)
+    pts = [(i, (round(rnd.gauss(0, 1), 3), round(rnd.gauss(0, 3), 3), float(rnd.randint(0, 2)))) for i in range(300)]
+    pts += [(300 + i, (0.0, 0.0, 1.0)) for i in range(40)]           # a hot duplicated vector
+    df = spark.createDataFrame([(i, *v) for i, v in pts], "id long, a double, b double, c double")
+    qs = pts[::17]
+    qdf = spark.createDataFrame([(i, *v) for i, v in qs], "id long, a double, b double, c double")
+    out = knn(qdf, df, ["a", "b", "c"], 7, "id", "id", target_per_cell=8).collect()
+    brute = brute_force_knn(pts, qs, 7)
+    for r in out:
+        ds = []
+        for n in r["neighbours"]:
+            ds += [n["dist"]] * n["cnt"]
+        assert [round(x, 9) for x in ds[:7]] == [round(x, 9) for x in brute[r["id"]]]
+    assert len(out) == len(qs)
+
+
+def test_smote_reaches_parity_within_bounds(spark):
+    from attrix.operators.neighbors import smote
+    rows = [(i, float(i % 10), float(i % 7), 0) for i in range(60)] + [(100 + i, 50.0 + i, 20.0 - i, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label int")
+    out = smote(df, "label", "id", ["x", "y"], k=5)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts[0] == counts[1] == 60
+    b = out.where("label = 1").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    assert b[0] >= 50.0 and b[1] <= 61.0 and b[2] >= 9.0 and b[3] <= 20.0
