@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
 from ..operators import views
-from ..operators.profile import column_stats, detect_ids
+from ..operators.profile import identifier_columns
 from ..operators.score import prediction
 from ..sources import fixtures
 from ..sources.tables import read_table
@@ -19,7 +19,7 @@ TARGET = "Exited"
 def _display(df, n):
     """Display columns from the identifier rule (B2) run on the table itself."""
     base = df.drop("p", "risk_score")
-    ids = detect_ids(column_stats(base, TARGET), TARGET)
+    ids = identifier_columns(base, TARGET)
     return ids, views.display_columns(base.columns, ids, TARGET, n)
 
 
