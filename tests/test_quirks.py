@@ -139,3 +139,12 @@ def test_scalar_helpers(spark):
     assert r[0]["m"] == "j*********t@exemple.com" and r[1]["m"] == "a*@x.fr"
     assert [x["v"] for x in r] == [True, True, False]
     assert spark.createDataFrame([("Élodie Dupré",)], "n string").select(ascii_slug("n")).first()[0] == "elodiedupre"
+
+
+def test_type_inference_dates_and_booleans(spark):
+    from attrix.operators.profile import build_profile
+    rows = [(f"2024-01-{(i % 28) + 1:02d}", "oui" if i % 2 else "non", f"Jan {i % 28 + 1}, 2024", i, float(i) / 3)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "d1 string, flag string, d2 string, n long, x double")
+    types = {c["name"]: c["type"] for c in build_profile(df).columns}
+    assert types == {"d1": "date", "flag": "booleen", "d2": "date", "n": "numerique", "x": "numerique"}
