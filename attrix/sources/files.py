@@ -161,8 +161,7 @@ def newest_dataset(spark: SparkSession, root: str, features: list[str] | None =
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text)."""
     glob = "*.{" + ",".join(DOC_EXT) + "}"
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
