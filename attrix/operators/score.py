@@ -74,3 +74,24 @@ def score_with_model(df: DataFrame, model, keep_probability: bool = False) -> Da
 
 def round_to(c, digits):
     return round_half_even(c, digits)
+
+
+def score_by_tenant(df: DataFrame, tenant_col: str, models: DataFrame, base_logit: Column) -> DataFrame:
+    """Score each row with its tenant's active model.
+
+    ``models`` holds one row per tenant (``tenant``, ``intercept_shift``): the registry
+    of per-tenant calibrations, bounded by the number of tenants, so it is
+    broadcast; every row is scored in the same single pass.
+    """
+    m = models.withColumnRenamed("tenant", tenant_col)
+    x = df.join(F.broadcast(m), tenant_col, "left")
+    z = base_logit + F.coalesce(F.col("intercept_shift"), F.lit(0.0))
+    return x.withColumn("p", logistic_probability(z)).withColumn("risk_score", risk_score("p")).drop("intercept_shift")
+
+
+def tenant_calibration(df: DataFrame, tenant_col: str, target: str) -> DataFrame:
+    """Per-tenant intercept shift = logit(tenant churn rate) - logit(overall rate)."""
+    overall = df.select(F.avg(F.col(target).cast("double"))).scalar()
+    rates = df.groupBy(F.col(tenant_col).alias("tenant")).agg(F.avg(F.col(target).cast("double")).alias("r"))
+    logit = lambda r: F.ln(r / (F.lit(1.0) - r))
+    return rates.select("tenant", (logit(F.col("r")) - logit(overall)).alias("intercept_shift"))

@@ -300,3 +300,13 @@ def adaboost_scores(df: DataFrame, model: StumpEnsemble) -> DataFrame:
     for fi, t, pol, alpha in model.stumps:
         f = f + F.lit(alpha) * (2 * _stump_pred(bins[model.features[fi]], t, pol) - 1)
     return df.withColumn("p", 1 / (1 + F.exp(-2 * f / total)))
+
+
+def log_runs(spark, root: str, leaderboard: DataFrame, dataset: str, params: dict | None = None) -> None:
+    """Append the leaderboard of one training run to the ``runs`` table."""
+    import datetime as _dt
+    import json as _json
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    (leaderboard.withColumn("run_ts", F.lit(now)).withColumn("dataset", F.lit(dataset))
+     .withColumn("params", F.lit(_json.dumps(params or {}, sort_keys=True)))
+     .write.mode("append").parquet(f"{root.rstrip('/')}/runs"))

@@ -112,3 +112,27 @@ def append_unseen(spark, sf):
         F.lower("c_name").alias("username"))
     _, counts = J.append_unseen(users, existing, "username")
     return counts
+
+
+@register("register_and_activate")
+def register_and_activate(spark, sf):
+    """J1-J3 + D19 + D20: train on the customer table, log the run, register the winner
+    (model files then version row), activate it, and list the registry newest first."""
+    from ..operators import train as T
+    from ..sources.files import scratch_path
+    churn = fixtures.churn(spark, sf)
+    res = T.train_and_select(churn, "Exited", "CustomerId", ids=["CustomerId", "Surname"], leaks=[],
+                             models=["Naive Bayes"], folds=3)
+    root = scratch_path(spark, "registry")
+    T.log_runs(spark, root, res.leaderboard, "churn", {"folds": 3})
+    meta = {"username": "operator", "organisation_id": 1, "target": "Exited", "dataset": "churn.parquet",
+            "algorithm": res.best_name, "features": [c for c in churn.columns if c not in ("CustomerId", "Surname", "Exited")],
+            "classes": ["0", "1"], "reason": res.reason}
+    version = J.register_version(spark, root, res.model, meta, activate_scope="operator")
+    versions = spark.read.parquet(f"{root}/versions")
+    current = J.current_versions(spark.read.parquet(f"{root}/activations"))
+    runs = spark.read.parquet(f"{root}/runs")
+    listing = J.list_versions(versions).join(current.withColumnRenamed("scope", "active_scope"), "version", "left")
+    return listing.select("version", "algorithm", F.size("features").alias("n_features"), "active_scope",
+                          J.model_label(F.col("target"), F.col("dataset")).alias("label"),
+                          F.lit(runs.count()).alias("logged_models"), F.lit(version).alias("registered"))

@@ -11,7 +11,7 @@ from ..operators.score import prediction
 from ..sources import fixtures
 from ..sources.tables import read_table
 from .catalog import register
-from .oracle_views import SCORED, with_
+from .oracle_views import LOGIT, SCORED, with_
 
 TARGET = "Exited"
 
@@ -141,3 +141,25 @@ def tenure_risk_grid(spark, sf):
 SELECT CustomerId, Surname, risk_score FROM scored WHERE CustomerId = 42""")
 def client_lookup(spark, sf):
     return views.lookup(fixtures.scored(spark, sf), "CustomerId", 42).select("CustomerId", "Surname", "risk_score")
+
+
+@register("tenant_scores", with_(SCORED) + """,
+t AS (SELECT s.*, n.n_regionkey AS tenant FROM scored s JOIN customer c ON c.c_custkey = s.CustomerId
+      JOIN nation n ON c.c_nationkey = n.n_nationkey),
+g AS (SELECT avg(CAST(Exited AS DOUBLE)) AS r FROM t),
+m AS (SELECT tenant, ln(avg(CAST(Exited AS DOUBLE)) / (1.0 - avg(CAST(Exited AS DOUBLE)))) - (SELECT ln(r / (1.0 - r)) FROM g)
+             AS shift FROM t GROUP BY tenant)
+SELECT CustomerId, t.tenant,
+       round_even(1.0 / (1.0 + exp(-(CAST(""" + LOGIT + """ AS DOUBLE) + m.shift))) * 100 * 10, 0) / 10 AS risk_score
+FROM t JOIN m USING (tenant)""")
+def tenant_scores(spark, sf):
+    """Per-tenant (region) models from the registry of calibrations, one scoring pass."""
+    from ..operators.score import score_by_tenant, tenant_calibration
+    from ..sources.fixtures import FIXED_LOGIT_SQL
+    churn = fixtures.churn(spark, sf)
+    cust = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("tenant"))
+    x = churn.join(cust, churn.CustomerId == cust.c_custkey).join(F.broadcast(nation),
+                                                                  F.col("c_nationkey") == F.col("n_nationkey"))
+    models = tenant_calibration(x, "tenant", "Exited")
+    return score_by_tenant(x, "tenant", models, F.expr(FIXED_LOGIT_SQL)).select("CustomerId", "tenant", "risk_score")
