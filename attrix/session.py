@@ -24,6 +24,12 @@ SESSION_DEFAULTS = {
     # post-shuffle partition of the build side is small (no sort of the big side,
     # and no unbounded hash table: above the threshold the sort-merge join stays).
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # No broadcast from static size estimates: a table derived from text (explode,
+    # aggregate) is estimated from its input file size and can be far larger than
+    # the guess. Broadcasts are either explicit on bounded tables or chosen by AQE
+    # from the measured size of a finished shuffle stage.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
