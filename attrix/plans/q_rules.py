@@ -62,11 +62,13 @@ def rule_actions(spark, sf):
             .select("id", (F.col("pos") + 1).alias("rank"), F.col("a.id").alias("rec_id"), "a.impact", "a.priority"))
 
 
-SCENARIOS = [("satisfaction_max", {"satisfaction": 6}),
-             ("no_tickets", {"supportTickets": 0}),
-             ("recent_contact", {"lastInteractionDays": 0}),
-             ("one_more_product", {"products": F.least(F.col("products") + 1, F.lit(6))}),
-             ("annual_contract", {"contract": "Annuel"})]
+def scenarios():
+    """Rule what-if scenarios (built on call: Columns need an active session)."""
+    return [("satisfaction_max", {"satisfaction": 6}),
+            ("no_tickets", {"supportTickets": 0}),
+            ("recent_contact", {"lastInteractionDays": 0}),
+            ("one_more_product", {"products": F.least(F.col("products") + 1, F.lit(6))}),
+            ("annual_contract", {"contract": "Annuel"})]
 
 
 @register("rule_what_if", with_(DEMO) + f"""
@@ -79,4 +81,4 @@ SCENARIOS = [("satisfaction_max", {"satisfaction": 6}),
 SELECT s.id, s.scenario, b.base_score, s.new_score, s.new_score - b.base_score AS delta
 FROM s JOIN (SELECT id, {score_sql()} AS base_score FROM demo) b ON s.id = b.id""")
 def rule_what_if(spark, sf):
-    return R.rule_what_if(fixtures.demo_clients(spark, sf), SCENARIOS)
+    return R.rule_what_if(fixtures.demo_clients(spark, sf), scenarios())
