@@ -107,6 +107,21 @@ WHAT_IF_VARIABLES = (("satisfaction", "Score de satisfaction", 1, 6, 1),
                      ("products", "Produits souscrits", 1, 6, 1))
 
 
+def demo_dashboard_kpis(df: DataFrame, score_col: str = "risk_score") -> DataFrame:
+    """The demo dashboard KPIs over the rule-scored client table: total, at-risk
+    count (level eleve: score > 70), at-risk % and predicted-churn % (score > 50)
+    rounded with Math.round to 0.1, mean score likewise; one global aggregate."""
+    s = F.col(score_col)
+    agg = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(s > 70).alias("at_risk_count"),
+                 F.count_if(s > 50).alias("churners"), F.sum(s).alias("__sum"))
+    share = lambda n: js_round(F.try_divide(F.col(n) * 1.0, F.col("total")) * 1000) / 10
+    return agg.select(
+        "total", "at_risk_count", share("at_risk_count").alias("at_risk_pct"),
+        share("churners").alias("avg_churn_rate"),
+        (js_round(F.coalesce(F.col("__sum"), F.lit(0)) / F.greatest(F.col("total"), F.lit(1)) * 10) / 10)
+        .alias("avg_score"))
+
+
 def rule_what_if(df: DataFrame, scenarios: list[tuple[str, dict]]) -> DataFrame:
     """Re-score each client under each scenario (overrides of the five inputs).
 

@@ -82,3 +82,25 @@ SELECT s.id, s.scenario, b.base_score, s.new_score, s.new_score - b.base_score A
 FROM s JOIN (SELECT id, {score_sql()} AS base_score FROM demo) b ON s.id = b.id""")
 def rule_what_if(spark, sf):
     return R.rule_what_if(fixtures.demo_clients(spark, sf), scenarios())
+
+
+@register("demo_kpis", with_(DEMO) + f""",
+s AS (SELECT {score_sql()} AS risk_score FROM demo)
+SELECT count(*) AS total, count(*) FILTER (WHERE risk_score > 70) AS at_risk_count,
+       floor(count(*) FILTER (WHERE risk_score > 70) * CAST(1.0 AS DOUBLE) / count(*) * 1000 + 0.5) / 10 AS at_risk_pct,
+       floor(count(*) FILTER (WHERE risk_score > 50) * CAST(1.0 AS DOUBLE) / count(*) * 1000 + 0.5) / 10 AS avg_churn_rate,
+       floor(CAST(coalesce(sum(risk_score), 0) AS DOUBLE) / greatest(count(*), 1) * 10 + 0.5) / 10 AS avg_score
+FROM s""")
+def demo_kpis(spark, sf):
+    """Dashboard KPIs of the demo client table (rule score, Math.round rounding)."""
+    d = fixtures.demo_clients(spark, sf).select(R.rule_score().alias("risk_score"))
+    return R.demo_dashboard_kpis(d)
+
+
+@register("demo_top_risk", with_(DEMO) + f"""
+SELECT id, {score_sql()} AS risk_score FROM demo ORDER BY risk_score DESC, id LIMIT 10""")
+def demo_top_risk(spark, sf):
+    """The 10 demo clients with the highest rule score (ties by id), TakeOrderedAndProject."""
+    from ..operators import views as V
+    d = fixtures.demo_clients(spark, sf).select("id", R.rule_score().alias("risk_score"))
+    return V.top_clients(d, 10, id_col="id")
