@@ -33,6 +33,9 @@ def _events_with_level(spark, sf, stream=True):
     if stream:
         src = M.stage_source(events, "events", order_by="ts")
         events = M.file_stream(spark, src, events.schema)
+        # The static side of a stream-static join is re-evaluated in every micro-batch:
+        # write the per-customer scores once (shared scratch folder), join the table.
+        demo = M.materialise(demo, "m4-static")
     # Stream-static join on the customer key (the static side is a table, not broadcast).
     return events.join(demo, events.user_id == demo.id).withColumn("level", risk_level("rule_score"))
 

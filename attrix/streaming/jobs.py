@@ -56,6 +56,15 @@ def stage_source(df: DataFrame, name: str, files: int = 8, order_by: str | None
     return path
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a static table once into the shared scratch folder and read it back, so a
+    stream-static join scans stored rows instead of recomputing their lineage per batch."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
