@@ -73,13 +73,19 @@ def score_percent(score) -> Column:
     return F.concat(F.rint(col_(score)).cast("long").cast("string"), F.lit("%"))
 
 
+def fixed2(c) -> Column:
+    """Two decimals, rounded on the exact binary value (as Python's ``{:.2f}`` and JS
+    ``toFixed(2)``): ``format_number`` rounds like that, ``format_string('%.2f')`` rounds
+    the shortest decimal form half-up (275814.235 -> .24 although the double is below)."""
+    return F.regexp_replace(F.format_number(col_(c), 2), ",", "")
+
+
 def display_value(c, data_type: str = "string") -> Column:
-    """Short display text: floats with 2 decimals, trailing zeros and dot trimmed."""
+    """Short display text: floats with 2 decimals, trailing zeros and dot trimmed; NULL -> ''."""
     c = col_(c)
     if data_type in ("double", "float"):
-        txt = F.format_string("%.2f", c)
-        txt = F.regexp_replace(F.regexp_replace(txt, r"0+$", ""), r"\.$", "")
-        return F.coalesce(txt, F.lit(""))
+        txt = F.regexp_replace(F.regexp_replace(fixed2(c), r"0+$", ""), r"\.$", "")
+        return F.when(c.isNull(), F.lit("")).otherwise(txt)
     return F.coalesce(c.cast("string"), F.lit(""))
 
 

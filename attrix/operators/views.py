@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import LEVEL_HIGH_MIN, LEVEL_LOW_MAX, col_, round_half_even
+from ..functions.scalars import LEVEL_HIGH_MIN, LEVEL_LOW_MAX, col_, fixed2, round_half_even
 
 # Level filter ranges [lo, hi) used by the list endpoint.
 LEVEL_RANGES = {"faible": (0.0, 30.0), "moyen": (30.0, 70.0001), "eleve": (70.0001, 101.0)}
@@ -187,10 +187,14 @@ def lookup(df: DataFrame, id_col: str, value) -> DataFrame:
 
 
 def format_cell(c, data_type: str) -> Column:
-    """Integer as is, floats with 2 decimals, missing as an em dash."""
+    """Integral numbers with fr-FR digit grouping (narrow no-break space, as
+    ``toLocaleString('fr-FR')``), other floats with 2 decimals, missing as an em dash."""
     c = col_(c)
+    grouped = F.regexp_replace(F.format_number(c, 0), ",", "\u202f")
     if data_type in ("double", "float"):
-        txt = F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(F.format_string("%.2f", c))
+        txt = F.when(c == F.floor(c), grouped).otherwise(fixed2(c))
+    elif data_type in ("int", "bigint", "smallint", "tinyint", "long"):
+        txt = grouped
     else:
         txt = c.cast("string")
-    return F.coalesce(txt, F.lit("—"))
+    return F.when(c.isNull(), F.lit("—")).otherwise(txt)
\ No newline at end of file

@@ -163,3 +163,22 @@ def tenant_scores(spark, sf):
                                                                   F.col("c_nationkey") == F.col("n_nationkey"))
     models = tenant_calibration(x, "tenant", "Exited")
     return score_by_tenant(x, "tenant", models, F.expr(FIXED_LOGIT_SQL)).select("CustomerId", "tenant", "risk_score")
+
+
+@register("formatted_cells", with_(SCORED) + """,
+f AS (SELECT *, chr(8239) AS sep FROM scored)
+SELECT CustomerId,
+       CASE WHEN Balance = floor(Balance) THEN replace(format('{:,}', CAST(floor(Balance) AS BIGINT)), ',', sep)
+            ELSE printf('%.2f', Balance) END AS balance_txt,
+       coalesce(CASE WHEN EstimatedSalary = floor(EstimatedSalary)
+                     THEN replace(format('{:,}', CAST(floor(EstimatedSalary) AS BIGINT)), ',', sep)
+                     ELSE printf('%.2f', EstimatedSalary) END, '—') AS salary_txt,
+       replace(format('{:,}', Age), ',', sep) AS age_txt, coalesce(Surname, '—') AS name_txt
+FROM f""")
+def formatted_cells(spark, sf):
+    """List-view cell text (integers as is, other floats with 2 decimals, missing as a dash)."""
+    s = fixtures.scored(spark, sf)
+    return s.select("CustomerId", views.format_cell("Balance", "double").alias("balance_txt"),
+                    views.format_cell("EstimatedSalary", "double").alias("salary_txt"),
+                    views.format_cell("Age", "bigint").alias("age_txt"),
+                    views.format_cell("Surname", "string").alias("name_txt"))
