@@ -148,3 +148,28 @@ def test_type_inference_dates_and_booleans(spark):
     df = spark.createDataFrame(rows, "d1 string, flag string, d2 string, n long, x double")
     types = {c["name"]: c["type"] for c in build_profile(df).columns}
     assert types == {"d1": "date", "flag": "booleen", "d2": "date", "n": "numerique", "x": "numerique"}
+
+
+def test_cell_text_matches_python_and_js_formatting(spark):
+    """Exact-binary 2-decimal rounding (Python {:.2f}, JS toFixed), fr-FR grouping of
+    integral numbers, NULL shown as a dash (cells) or empty (display text), never 'nu'."""
+    from attrix.functions.scalars import display_value
+    from attrix.operators.views import format_cell
+    vals = [275814.235, 0.125, 1234.5, 12345.0, -9876543.0, None, 2.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(format_cell("x", "double").alias("c"), display_value("x", "double").alias("d")).collect()
+    nbsp = "\u202f"
+
+    def js_cell(v):
+        if v is None:
+            return "—"
+        if v == int(v):
+            s = f"{abs(int(v)):,}".replace(",", nbsp)
+            return ("-" if v < 0 else "") + s
+        return f"{v:.2f}"
+
+    def py_display(v):
+        return "" if v is None else f"{v:.2f}".rstrip("0").rstrip(".")
+    assert [r["c"] for r in got] == [js_cell(v) for v in vals]
+    assert [r["d"] for r in got] == [py_display(v) for v in vals]
+    assert got[0]["c"] == "275814.23"          # the double is below .235
