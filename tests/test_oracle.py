@@ -13,7 +13,9 @@ FAST = ["scored_levels", "risk_distribution", "risk_histogram", "dashboard_kpis"
         "rule_what_if", "fallback_actions", "retention_plan", "alert_mail", "stratified_split", "fold_assignment",
         "confusion_metrics", "roc_auc_exact", "leaderboard", "validate_records", "what_if_grid", "best_action",
         "ablation_contrib", "linear_contrib", "chunk_documents", "tfidf_search", "model_catalogue",
-        "latest_per_owner", "delete_versions", "append_unseen", "csv_roundtrip", "latin1_roundtrip"]
+        "latest_per_owner", "delete_versions", "append_unseen", "csv_roundtrip", "latin1_roundtrip",
+        "demo_kpis", "demo_top_risk", "formatted_cells", "corpus_changes", "context_blocks", "reuse_ttl",
+        "top_report", "clients_rows"]
 
 
 def _norm(v):
