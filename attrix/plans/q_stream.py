@@ -89,8 +89,9 @@ def stream_drift(spark, sf):
     # window bins contribute term(p_new, p_ref); reference bins missing from the
     # window contribute term(0, p_ref) = (sum over all reference bins) - (those present).
     all_ref = ref.select(F.sum(term(F.lit(0.0), F.col("p_ref")))).scalar()
-    # The stored reference holds one row per category: a bounded broadcast.
-    j = new.join(F.broadcast(ref), "bin", "left")
+    # One row per category, but categories are not bounded in general: no broadcast
+    # hint; AQE broadcasts the reference only when its aggregate measured small.
+    j = new.join(ref, "bin", "left")
     per = j.groupBy("window_start").agg(
         F.sum(term(F.col("p_new"), F.col("p_ref"))).alias("present"),
         F.sum(F.when(F.col("p_ref").isNotNull(), term(F.lit(0.0), F.col("p_ref"))).otherwise(F.lit(0.0))).alias("seen"))
