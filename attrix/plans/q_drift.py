@@ -95,3 +95,11 @@ FROM report""")
 def drift_summary(spark, sf):
     ref, new = fixtures.order_drift_split(spark, sf)
     return D.drift_summary(D.psi_by_column(_shifted(new), D.build_reference(ref, COLUMNS)))
+
+
+@register("drift_retrain", _sql_common(_NEW_SHIFTED) + """
+SELECT *, true AS retrain FROM report WHERE level <> 'stable' ORDER BY psi DESC, "column" LIMIT 5""")
+def drift_retrain(spark, sf):
+    """H9: the five most drifted non-stable columns of the shifted orders, with the retrain flag."""
+    ref, new = fixtures.order_drift_split(spark, sf)
+    return D.retrain_hint(D.psi_by_column(_shifted(new), D.build_reference(ref, COLUMNS)))
