@@ -148,3 +148,35 @@ def test_smote_reaches_parity_within_bounds(spark):
     assert counts[0] == counts[1] == 60
     b = out.where("label = 1").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     assert b[0] >= 50.0 and b[1] <= 61.0 and b[2] >= 9.0 and b[3] <= 20.0
+
+
+def _broadcast_subtrees(plan: str):
+    """Text of every subtree under a BroadcastExchange node of a tree-string plan."""
+    lines = plan.split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" not in line or "ReusedExchange" in line:
+            continue
+        depth = line.index("BroadcastExchange")
+        sub = []
+        for nxt in lines[i + 1:]:
+            stripped = nxt.lstrip(" :+-")
+            if not stripped or len(nxt) - len(stripped) <= depth:
+                break
+            sub.append(nxt)
+        out.append("\n".join(sub))
+    return out
+
+
+def test_search_never_broadcasts_the_corpus(spark):
+    """Scale guard: only the query side (bounded, counted) may be broadcast; nothing derived
+    from the documents table (term frequencies, norms) goes into a broadcast."""
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    df = entry.queries()["tfidf_search"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    subtrees = _broadcast_subtrees(plan)
+    assert subtrees, "the query-term vectors should be broadcast"
+    assert not any("documents.parquet" in s for s in subtrees)
