@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attrix.llm.column_bwt_dedup import column_bwt_dedup
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.sources.tables import read_table
 
@@ -21,3 +22,8 @@ def _query(fn):
 @_query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@_query
+def op4_column_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_bwt_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
