@@ -19,6 +19,8 @@ from attrix.session import ensure_checkpoint_dir
 BLOCK_BYTES = 4 << 20
 #: Blocks per shuffle partition at least, so that hashing blocks to partitions stays even.
 BLOCKS_PER_PARTITION = 4
+#: Spark's setting that frees the shuffle files of a finished execution at once; what it wrote is read from storage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,9 +30,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it again: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -75,14 +75,39 @@ def confirmed_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
             .where("lo < hi").select("phrase_hash", "phrase", F.explode("blocks").alias("block")))
 
 
-def compile_phrases(phrases: list[bytes], hashes: list[int]) -> tuple[dict[bytes, int], ahocorasick.Automaton]:
-    """Word numbers and an automaton over sequences of word numbers; 0 is any word of no phrase."""
-    numbers: dict[bytes, int] = {}
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p, h in zip(phrases, hashes):
-        machine.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in p.split()), h)
+#: A word number is written as so many symbols of so many bits: nodes of the automaton keep their children in a list,
+#: so a small alphabet keeps every step short.
+SYMBOLS, BITS = 4, 5
+_OTHER = "\0" * SYMBOLS
+
+
+def _code(number: int) -> str:
+    return "".join(chr(1 + (number >> BITS * i & (1 << BITS) - 1)) for i in range(SYMBOLS))
+
+
+class WordCodes(dict):
+    """Symbols of each word that a phrase has; all other words share one code."""
+
+    def __missing__(self, word: bytes) -> str:
+        return _OTHER
+
+
+def compile_phrases(phrases: list[bytes]) -> tuple[WordCodes, ahocorasick.Automaton]:
+    """Codes of the words and an automaton that knows the phrases as sequences of codes."""
+    codes, machine = WordCodes(), ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        words = p.split()
+        for w in words:
+            if w not in codes:
+                codes[w] = _code(len(codes))
+        machine.add_word("".join([codes[w] for w in words]))
     machine.make_automaton()
-    return numbers, machine
+    return codes, machine
+
+
+def occurrences(codes: WordCodes, machine: ahocorasick.Automaton, words: list[bytes]) -> list[int]:
+    """Index of the last word of every phrase occurrence; matches off the word grid are none."""
+    return [e // SYMBOLS for e, _ in machine.iter("".join(map(codes.__getitem__, words))) if e % SYMBOLS == SYMBOLS - 1]
 
 
 def _stream(window: int, phrase: int):
@@ -91,13 +116,13 @@ def _stream(window: int, phrase: int):
         skip = set(side.filter(pc.is_null(side["phrase"]))["doc_id"].to_pylist())
         keys, ids, starts, wins = [], [], [], []
         word, done = WordHash(), set()
-        numbers, machine = compile_phrases(known["phrase"].to_pylist(), known["phrase_hash"].to_pylist()) if len(known) else ({}, None)
+        codes, machine = compile_phrases(known["phrase"].to_pylist()) if len(known) else (None, None)
         for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()) if machine else ():
             words = text.encode().split() if text and doc is not None and doc not in skip else ()
             if len(words) < window or (doc, text) in done:
                 continue
             done.add((doc, text))
-            ends = [e for e, _ in machine.iter(tuple(numbers.get(w, 0) for w in words))]
+            ends = occurrences(codes, machine, words)
             if not ends:
                 continue
             roll, grams, least = _elected(np.fromiter(map(word.__getitem__, words), np.uint64, len(words)), window, phrase)
