@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
+from attrix.llm.shingle_join import shingle_join
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.sources.tables import read_table
 
@@ -27,3 +28,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_column_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_bwt_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@_query
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(read_table(spark, sf_dir, "documents"))

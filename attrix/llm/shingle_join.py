@@ -196,8 +196,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     size = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
     groups = max(4 * shuffle_partitions(pairs.sparkSession), -(-8 * size // GROUP_BYTES))
     group = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int").alias("g")
-    left = pairs.select("a", "part", group).distinct().join(sets.withColumnRenamed("key", "a"), "a").select("g", "a", "node", "shingles")
-    right = pairs.select("a", "b", group).join(sets.withColumnRenamed("key", "b"), "b").select("g", "a", "node", "shingles")
+    fresh = [F.col(c).alias(c) for c in ("g", "a", "node", "shingles")]  # both sides read one table; aliases tell them apart
+    left = pairs.select("a", "part", group).distinct().join(sets.withColumnRenamed("key", "a"), "a").select(*fresh)
+    right = pairs.select("a", "b", group).join(sets.withColumnRenamed("key", "b"), "b").select(*fresh)
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(percent), "a long, b long")
 
 
