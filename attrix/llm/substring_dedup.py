@@ -189,8 +189,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = stored(locate(docs, confirmed_phrases(docs, window, phrase), later, window, phrase), "windows")
     windows = (runs.select("phrase_hash", "doc_id", "start", F.posexplode("windows").alias("nth", "window"))
                .select("phrase_hash", "window", "doc_id", (F.col("start") + F.col("nth")).alias("start")))
-    origin = (windows.groupBy("phrase_hash", "window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-              .where("first_id < last_id").drop("last_id"))
+    # Stored, so that the join below has exchanges of its own, whose hot windows can be split.
+    origin = stored(windows.groupBy("phrase_hash", "window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+                    .where("first_id < last_id").drop("last_id"), "origins")
     gone = (windows.join(origin, ["phrase_hash", "window"]).where("doc_id > first_id")
             .select("doc_id", "start", block_of(blocks).alias("block")))
     side = gone.unionByName(later, allowMissingColumns=True)
