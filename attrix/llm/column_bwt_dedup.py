@@ -16,8 +16,9 @@ cannot share a repeated window:
    are bounded by the segment length and each costs one pass over the segments; all collections of a shard advance
    together. A window repeats if its suffix shares ``WINDOW`` bytes with a neighbour in that order, or if its
    segment has copies.
-3. *Hot phrases* (more than ``HOT`` places) would make an unbounded collection: their windows are counted by
-   128-bit hashes instead, an aggregation that collapses on the map side and needs no group in one task.
+3. *Hot phrases* (more than ``HOT`` distinct segments) would make an unbounded collection: the windows of their
+   segments are counted by 128-bit hashes instead, an aggregation that collapses on the map side and needs no group in
+   one task.
 4. *Cut*: repeated windows return to their document's block, which cuts the bytes.
 
 The columns of a shard (a few MB by construction) are held in memory; the tables between the steps are sequential
@@ -43,7 +44,7 @@ from attrix.llm.common import Rolling, block_of, copies, covered, scrambled, shu
 
 WINDOW = 200
 PHRASE = 32
-HOT = 1024
+HOT = 20_000
 SHARD_BYTES = 4 << 20
 END = 256  # the symbol of a column that a segment does not reach
 
@@ -79,46 +80,42 @@ def _scan(window: int, phrase: int):
     return scan
 
 
-def recurring_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT) -> DataFrame:
-    """(block, phrase, hot): phrases elected at two places or more, once for each block that has them."""
+def recurring_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(block, phrase): phrases elected at two places or more, once for each block that has them."""
     return (docs.mapInArrow(_scan(window, phrase), "phrase long, places int, block int")
             .groupBy("phrase").agg(F.sum("places").alias("places"), F.collect_set("block").alias("blocks"))
-            .where("places > 1").select(F.explode("blocks").alias("block"), "phrase", (F.col("places") > hot).alias("hot")))
+            .where("places > 1").select(F.explode("blocks").alias("block"), "phrase"))
 
 
-PIECES = "phrase long, segment_id binary, lead int, segment binary, doc_id long, starts array<int>, windows array<long>"
+PIECES = "phrase long, segment_id binary, lead int, segment binary, doc_id long, starts array<int>"
 
 
 def _segments(window: int, phrase: int):
-    """Segments of recurring phrases; for hot phrases runs of window hashes in place of bytes."""
+    """Segments of recurring phrases."""
     width = window - phrase + 1
 
     def segments(docs: pa.Table, side: pa.Table) -> pa.Table:
         skip = set(side["doc_id"].drop_null().to_pylist())
         known = side.filter(pc.is_valid(side["phrase"])).sort_by("phrase")
-        keys, hot = known["phrase"].to_numpy(), known["hot"].to_numpy()
+        keys = known["phrase"].to_numpy()
         rows, done = [], set()
         for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()) if len(keys) else ():
             data = text.encode() if text and doc is not None and doc not in skip else b""
             if len(data) < window or (doc, text) in done:
                 continue
             done.add((doc, text))
-            roll, grams, least = _elected(data, window, phrase)
+            _, grams, least = _elected(data, window, phrase)
             first = _firsts(least)
             last = np.append(first[1:], len(least))
             value = least[first].view(np.int64)
             at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-            hashes, repeats = None, {}
+            repeats = {}
             for i in np.flatnonzero(keys[at] == value).tolist():
                 v, s, e = int(value[i]), int(first[i]), int(last[i])
-                if hot[at[i]]:
-                    hashes = roll.windows(window).view(np.int64) if hashes is None else hashes
-                    rows.append((v, None, None, None, doc, [s], hashes[s:e]))
-                    continue
                 place = s + np.flatnonzero(grams[s : e - 1 + width] == least[s])
                 if len(place) == 1:
                     piece = data[s : e - 1 + window]
-                    rows.append((v, hashlib.md5(piece).digest(), int(place[0]) - s, piece, doc, [s], None))
+                    rows.append((v, hashlib.md5(piece).digest(), int(place[0]) - s, piece, doc, [s]))
                     continue
                 # Leftmost place per window, so that equal windows have equal leads; equal pieces of a document share a row.
                 lo = s
@@ -127,10 +124,10 @@ def _segments(window: int, phrase: int):
                         hi = min(p + 1, e)
                         repeats.setdefault((v, p - lo, data[lo : hi - 1 + window]), []).append(lo)
                         lo = hi
-            rows += [(v, hashlib.md5(piece).digest(), lead, piece, doc, starts, None) for (v, lead, piece), starts in repeats.items()]
-        a = list(zip(*rows)) or [()] * 7
-        kinds = pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())
-        return pa.table([pa.array(x, k) for x, k in zip(a, kinds)], ["phrase", "segment_id", "lead", "segment", "doc_id", "starts", "windows"])
+            rows += [(v, hashlib.md5(piece).digest(), lead, piece, doc, starts) for (v, lead, piece), starts in repeats.items()]
+        a = list(zip(*rows)) or [()] * 6
+        kinds = pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32())
+        return pa.table([pa.array(x, k) for x, k in zip(a, kinds)], ["phrase", "segment_id", "lead", "segment", "doc_id", "starts"])
     return segments
 
 
@@ -189,6 +186,34 @@ def _shard(window: int):
     return shard
 
 
+def _window_hashes(window: int):
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Rolling(_BYTE[np.frombuffer(x, np.uint8)]).windows(window).view(np.int64) for x in batch.column("segment").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("phrase", "segment_id", "lead", "places")), pa.array(found, pa.list_(pa.int64()))], ["phrase", "segment_id", "lead", "places", "windows"])
+    return hashes
+
+
+def repeated_windows(distinct: DataFrame, window: int, hot: int) -> DataFrame:
+    """(phrase, segment_id, lead, runs): first and last offset of each run of repeated windows of the distinct segments."""
+    key = ["phrase", "segment_id", "lead"]
+    schema = "phrase long, segment_id binary, lead int, runs array<int>"
+    distinct = stored(distinct, "distinct")
+    crowded = stored(distinct.groupBy("phrase").count().where(F.col("count") > hot).select("phrase"), "hot")
+    total = distinct.agg(F.sum(F.octet_length("segment")).alias("n")).first()["n"] or 0
+    shards = max(4 * shuffle_partitions(distinct.sparkSession), -(-total // SHARD_BYTES))
+    some = not crowded.isEmpty()
+    usual = distinct.join(crowded, "phrase", "left_anti") if some else distinct
+    repeated = (usual.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int")).groupBy("shard")
+                .applyInArrow(_shard(window), schema))
+    if not some:
+        return repeated
+    windows = (distinct.join(crowded, "phrase", "left_semi").mapInArrow(_window_hashes(window), "phrase long, segment_id binary, lead int, places long, windows array<long>")
+               .select(*key, "places", F.posexplode("windows").alias("nth", "window")))
+    twice = stored(windows.groupBy("phrase", "window").agg(F.sum("places").alias("n")).where("n > 1").drop("n"), "windows")
+    return repeated.unionByName(windows.join(twice, ["phrase", "window"]).select(*key, F.array("nth", "nth").alias("runs")))
+
+
 def _cut(window: int, with_text: bool):
     def cut(docs: pa.Table, side: pa.Table) -> pa.Table:
         whole, spans = set(), {}
@@ -224,25 +249,15 @@ def column_bwt_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row per input row, ``kept`` its remaining bytes."""
     docs, blocks = with_blocks(docs, id_col, text_col)
     same = stored(copies(docs).select("doc_id", (F.col("doc_id") > F.col("first_id")).alias("later"), block_of(blocks).alias("block")), "copies")
-    side = recurring_phrases(docs, window, phrase, hot).unionByName(same.where("later").select("block", "doc_id"), allowMissingColumns=True)
+    side = recurring_phrases(docs, window, phrase).unionByName(same.where("later").select("block", "doc_id"), allowMissingColumns=True)
     pieces = stored(docs.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_segments(window, phrase), PIECES), "segments")
 
-    bytes_ = pieces.where("windows is null")
-    distinct = bytes_.groupBy("phrase", "segment_id", "lead").agg(F.first("segment").alias("segment"), F.sum(F.size("starts")).alias("places"))
-    total = bytes_.agg(F.sum(F.octet_length("segment")).alias("n")).first()["n"] or 0
-    shards = max(4 * shuffle_partitions(docs.sparkSession), -(-total // SHARD_BYTES))
-    repeated = (distinct.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int")).groupBy("shard")
-                .applyInArrow(_shard(window), "phrase long, segment_id binary, lead int, runs array<int>"))
-    spans = (bytes_.select("phrase", "segment_id", "lead", "doc_id", "starts").join(repeated, ["phrase", "segment_id", "lead"])
+    distinct = pieces.groupBy("phrase", "segment_id", "lead").agg(F.first("segment").alias("segment"), F.sum(F.size("starts")).alias("places"))
+    repeated = stored(repeated_windows(distinct, window, hot), "repeated")
+    spans = (pieces.select("phrase", "segment_id", "lead", "doc_id", "starts").join(repeated, ["phrase", "segment_id", "lead"])
              .select("doc_id", "runs", F.explode("starts").alias("start"))
              .select("doc_id", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 1, 2), i -> struct(runs[i] as lo, runs[i + 1] as hi))")).alias("r"))
              .select("doc_id", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + window).alias("hi")))
-
-    windows = (pieces.where("windows is not null").select("phrase", "doc_id", F.col("starts")[0].alias("start"), F.posexplode("windows").alias("nth", "window"))
-               .select("phrase", "window", "doc_id", (F.col("start") + F.col("nth")).alias("lo")))
-    twice = windows.groupBy("phrase", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hot_spans = windows.join(twice, ["phrase", "window"]).select("doc_id", "lo", (F.col("lo") + window).alias("hi"))
-
-    gone = spans.unionByName(hot_spans).withColumn("block", block_of(blocks)).unionByName(same.select("doc_id", "block"), allowMissingColumns=True)
+    gone = spans.withColumn("block", block_of(blocks)).unionByName(same.select("doc_id", "block"), allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return docs.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_cut(window, with_text), schema)
