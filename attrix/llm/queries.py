@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
+from attrix.llm.packing import pack
 from attrix.llm.shingle_join import shingle_join
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.sources.tables import read_table
@@ -33,3 +35,8 @@ def op4_column_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
