@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
 from attrix.llm.packing import pack
+from attrix.llm.quality_votes import quality_votes
+from attrix.llm.rule_ensemble import held_out, rule_ensemble
 from attrix.llm.shingle_join import shingle_join
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.sources.tables import read_table
@@ -40,3 +42,14 @@ def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@_query
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_votes(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rule_ensemble(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
