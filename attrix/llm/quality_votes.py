@@ -26,6 +26,8 @@ RULES = {
     "upper": ("n_upper > n_lower", "n_upper < 0.3 * n_lower"),
     "exclaim": ("exclaim_rate > 0.2", "exclaim_rate < 0.05"),
     "symbols": ("symbol_rate > 0.2", "symbol_rate < 0.05"),
+    "symbol_share": ("n_symbols > 0.05 * word_chars", "n_symbols < 0.01 * word_chars"),
+    "letters": ("n_upper + n_lower < 0.7 * word_chars", "n_upper + n_lower > 0.8 * word_chars"),
     "repeats": ("repeat_rate > 0.3", "repeat_rate < 0.1"),
     "next_word": ("next_rate > 0.2", "next_rate < 0.03"),
     "lines": ("dup_line_rate > 0.3", "n_lines > 1 and n_dup_lines = 0"),

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
+from attrix.llm.embedding_dedup import embedding_dedup
 from attrix.llm.packing import pack
 from attrix.llm.quality_votes import quality_votes
 from attrix.llm.rule_ensemble import held_out, rule_ensemble
@@ -53,3 +54,8 @@ def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rule_ensemble(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
