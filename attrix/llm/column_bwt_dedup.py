@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, block_of, copies, covered, scrambled, shuffle_partitions, sliding_min, stored, with_blocks
+from attrix.llm.common import BYTE, Rolling, block_of, copies, shuffle_partitions, sliding_min, stored, with_blocks
 
 WINDOW = 200
 PHRASE = 32
@@ -48,11 +48,9 @@ HOT = 20_000
 SHARD_BYTES = 4 << 20
 END = 256  # the symbol of a column that a segment does not reach
 
-_BYTE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
 
 def _elected(data: bytes, window: int, phrase: int) -> tuple[Rolling, np.ndarray, np.ndarray]:
-    roll = Rolling(_BYTE[np.frombuffer(data, np.uint8)])
+    roll = Rolling(BYTE[np.frombuffer(data, np.uint8)])
     grams = roll.windows(phrase)
     return roll, grams, sliding_min(grams, window - phrase + 1)
 
@@ -189,7 +187,7 @@ def _shard(window: int):
 def _window_hashes(window: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Rolling(_BYTE[np.frombuffer(x, np.uint8)]).windows(window).view(np.int64) for x in batch.column("segment").to_pylist()]
+            found = [Rolling(BYTE[np.frombuffer(x, np.uint8)]).windows(window).view(np.int64) for x in batch.column("segment").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("phrase", "segment_id", "lead", "places")), pa.array(found, pa.list_(pa.int64()))], ["phrase", "segment_id", "lead", "places", "windows"])
     return hashes
 

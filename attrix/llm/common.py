@@ -6,7 +6,6 @@ columns only, so further columns (also ones with clashing names) do no harm.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -64,18 +63,6 @@ def copies(docs: DataFrame) -> DataFrame:
     return texts.join(groups, "sha").select("doc_id", "first_id", "copies")
 
 
-class WordHash(dict):
-    """64-bit hash of a word, remembered; emptied at a fixed size, so that its memory is bounded."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
 _FACTOR = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -114,6 +101,26 @@ class Rolling:
         return scrambled((self.sums[k:] - self.sums[:-k]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+#: A random 64-bit symbol for every byte.
+BYTE = scrambled(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the words of a text: runs of bytes other than ASCII white space."""
+    symbols = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[symbols], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    roll = Rolling(BYTE[symbols])
+    return scrambled((roll.sums[ends] - roll.sums[starts]) * roll.inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` neighbours, by doubling."""
     have = 1

@@ -35,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, WordHash, scrambled, shuffle_partitions, stored
+from attrix.llm.common import Rolling, distinct, scrambled, shuffle_partitions, stored, words_of
 from attrix.llm.components import connected_components
 
 WORDS = 4
 PERCENT = 85
 BAND_RATIO = 1.6
 #: Signatures that one verification costs, and the share of shingles taken to be common, in the cost of an allocation.
-VERIFY_COST, COMMON_SHARE = 20.0, 0.1
+VERIFY_COST, COMMON_SHARE = 20.0, 0.05
+#: Bands that the documents are taken to spread over, for the same purpose.
+BANDS_IN_USE = 12
 #: Nodes per signature that are compared across components at once; larger groups go by pivots.
 SMALL_GROUP = 16
 PIVOTS = 32
@@ -52,15 +54,12 @@ PARTNERS, GROUP_BYTES = 256, 4 << 20
 BROADCAST_IDS = 500_000
 
 
-def shingle_set(text: str | None, word: WordHash, words: int = WORDS) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles, A-Z lower-cased."""
-    tokens = text.encode().lower().split() if text else []
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(word.__getitem__, tokens), np.uint64, len(tokens))
-    if len(tokens) < words:
-        return scrambled(Rolling(hashes).windows(len(tokens)) + np.uint64(len(tokens)))
-    return np.unique(Rolling(hashes).windows(words))
+    hashes = words_of(text.encode().lower() if text else b"")[0]
+    if len(hashes) < words:
+        return scrambled(Rolling(hashes).windows(len(hashes)) + np.uint64(len(hashes))) if len(hashes) else hashes
+    return distinct(Rolling(hashes).windows(words))
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
@@ -74,22 +73,24 @@ def set_key(digest: bytes) -> int:
 class Band:
     """Segments of a size band [low, high): the first ``ones`` have budget 1, the ``twos`` after them budget 2."""
 
-    def __init__(self, low: int, high: int, percent: int, documents: int):
+    def __init__(self, low: int, high: int, percent: int, documents: float):
         self.low, self.high = low, high
         self.differences = (100 - percent) * 2 * (high - 1) // (100 + percent)
         # Without differences all segments are equal; one holds the whole set.
         self.spare = 0 if not self.differences else 2 + math.ceil(0.06 * (self.differences + 1))
         need = self.differences + 1 + self.spare
-        size = (low + high - 1) / 2
-        best = None
+
+        def partners(mass: float) -> float:
+            """Expected other documents with the same subset: it has common shingles only, they have the same ones."""
+            rare = math.exp(-mass * (1 - COMMON_SHARE))
+            return documents * COMMON_SHARE * rare * (rare - math.exp(-mass))
+
+        mass = (low + high - 1) / 2 / need  # mean shingles of a segment with budget 1; budget 2 has twice as many
+        costs = []
         for twos in range(need // 2 + 1):
             ones = need - 2 * twos
-            mass = size / need  # mean shingles of a segment with budget 1; budget 2 has twice as many
-            partners = lambda m: documents * math.exp(-2 * m * (1 - COMMON_SHARE))
-            cost = ones * (1 + VERIFY_COST * partners(mass)) + twos * (2 + 2 * mass) * (1 + VERIFY_COST * partners(2 * mass - 1))
-            if best is None or cost < best[0]:
-                best = cost, ones, twos
-        self.ones, self.twos = best[1:]
+            costs.append((ones * (1 + VERIFY_COST * partners(mass)) + twos * (2 + 2 * mass) * (1 + VERIFY_COST * partners(2 * mass)), ones, twos))
+        _, self.ones, self.twos = min(costs)
         self.seed = np.uint64((low * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
 
     def signatures(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,56 +116,63 @@ class Band:
         return np.concatenate([whole, parts]), np.repeat([True, False], [len(whole), len(parts)])
 
 
-def edges_of_bands(limit: int, ratio: float = BAND_RATIO) -> list[int]:
-    lows = [1]
-    while lows[-1] <= limit:
-        lows.append(max(lows[-1] + 1, int(lows[-1] * ratio)))
-    return lows
+def band_edges(ratio: float = BAND_RATIO) -> Iterator[tuple[int, int]]:
+    low = 1
+    while True:
+        high = max(low + 1, int(low * ratio))
+        yield low, high
+        low = high
 
 
-def _describe(words: int):
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordHash()
-        for batch in batches:
-            sizes, digests = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, word, words)
-                sizes.append(len(s))
-                digests.append(set_digest(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(map(set_key, digests), pa.int64())], ["doc_id", "n_shingles", "digest", "key"])
-    return describe
+class Bands:
+    """The bands that sets of some size sign in, made as they are met."""
 
+    def __init__(self, percent: int, documents: int):
+        self.percent, self.documents = percent, documents / BANDS_IN_USE
+        self.edges, self.bands = band_edges(), []
 
-def _sign(bands: list[Band], percent: int, words: int):
-    lows = np.array([b.low for b in bands])
+    def of(self, size: int) -> list[Band]:
+        while not self.bands or 100 * size >= self.percent * self.bands[-1].high:
+            self.bands.append(Band(*next(self.edges), self.percent, self.documents))
+        return [b for b in self.bands if size < b.high and 100 * size >= self.percent * b.low]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordHash()
+
+def _scan(percent: int, documents: int, words: int):
+    """Two kinds of rows: (doc_id, n_shingles, digest, key) per document and (key, signature, whole) per signature."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent, documents)
         for batch in batches:
+            sizes, digests, seen = [], [], set()
             keys, signatures, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            seen = set()
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, word, words)
-                key = set_key(set_digest(s))
-                if not len(s) or key in seen:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                s = shingle_set(text, words)
+                digest = set_digest(s)
+                sizes.append(len(s))
+                digests.append(digest)
+                if doc is None or not len(s) or digest in seen:
                     continue
-                seen.add(key)
-                i = int(np.searchsorted(lows, len(s), "right")) - 1
-                for band in bands[i : i + 2]:
-                    if band.low <= len(s) or 100 * len(s) >= percent * band.low:
-                        x, full = band.signatures(s)
-                        keys.append(np.full(len(x), key, np.int64))
-                        signatures.append(x)
-                        whole.append(full)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signatures).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(whole))], ["signature", "key", "whole"])
-    return sign
+                seen.add(digest)
+                for band in bands.of(len(s)):
+                    x, full = band.signatures(s)
+                    keys.append(np.full(len(x), set_key(digest), np.int64))
+                    signatures.append(x)
+                    whole.append(full)
+            n, m = len(sizes), sum(map(len, keys))
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(batch.column("doc_id")), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(m, pa.binary())]),
+                pa.array(np.concatenate([np.array([set_key(d) for d in digests], np.int64), *keys])),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(signatures).view(np.int64))]),
+                pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(np.concatenate(whole))])],
+                ["doc_id", "n_shingles", "digest", "key", "signature", "whole"])
+    return scan
 
 
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordHash()
         for batch in batches:
-            found = [shingle_set(text, word, words) for text in batch.column("text").to_pylist()]
+            found = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(set_digest(s)) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "key", "shingles"])
     return sets
 
@@ -211,19 +219,12 @@ def matching_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row; components of the links of ``percent`` or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = stored(docs.mapInArrow(_describe(words), "doc_id long, n_shingles long, digest binary, key long"), "sets")
-    known = docs.where("doc_id is not null").select("text")
+    scanned = stored(docs.mapInArrow(_scan(percent, docs.count(), words), "doc_id long, n_shingles long, digest binary, key long, signature long, whole boolean"), "sets")
+    table = scanned.where("signature is null").select("doc_id", "n_shingles", "digest", "key")
+    signatures = scanned.where("signature is not null").select("signature", "key", "whole")
     classes = stored(table.where("doc_id is not null and n_shingles > 0").groupBy("digest", "key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-
-    largest = classes.agg(F.max("n_shingles").alias("n")).first()["n"] or 0
-    lows = edges_of_bands(largest)
-    per_band = dict(classes.select(F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda x: x <= F.col("n_shingles"))).alias("band"))
-                    .groupBy("band").count().collect())  # one row per band: a few dozen
-    bands = [Band(lo, hi, percent, per_band.get(i + 1, 0) + per_band.get(i, 0)) for i, (lo, hi) in enumerate(zip(lows, lows[1:]))]
-
-    signatures = known.mapInArrow(_sign(bands, percent, words), "signature long, key long, whole boolean")
-    shared = (signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
-              .where("pivot < last and whole").select("signature", "pivot"))
+    shared = stored(signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
+                    .where("pivot < last and whole").select("signature", "pivot"), "shared")
     groups = stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures")
 
     keys = groups.select("key").distinct()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, WordHash, covered
+from attrix.llm.common import Rolling, covered, distinct, words_of
 
 COUNTS = ("n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_lower",
           "n_digits", "n_exclaim", "n_stops", "n_commas", "n_pipes", "n_repeat_next", "longest_word")
@@ -22,25 +22,24 @@ _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 
 
-def text_counts(text: str | None, word: WordHash) -> tuple[int, ...]:
+def text_counts(text: str | None) -> tuple[int, ...]:
     """The numbers named in ``COUNTS``; letters and digits are those of ASCII."""
     if not text:
         return (0,) * len(COUNTS)
     data = text.encode()
-    words = data.split()
-    n = len(words)
+    hashes, starts, ends = words_of(data)
+    n = len(hashes)
     seen, lines, again = set(), 0, 0
     for line in text.split("\n"):
         if line.strip(_SPACE):
             lines += 1
             again += line in seen
             seen.add(line)
-    distinct = repeats = following = longest = 0
+    kinds = repeats = following = longest = 0
     if n:
-        hashes = np.fromiter(map(word.__getitem__, words), np.uint64, n)
-        distinct = len(np.unique(hashes))
+        kinds = len(distinct(hashes))
         following = int((hashes[1:] == hashes[:-1]).sum())
-        longest = max(map(len, words))
+        longest = int((ends - starts).max())
         grams = Rolling(hashes).windows(3)
         if len(grams) > 1:
             order = np.argsort(grams)
@@ -51,15 +50,14 @@ def text_counts(text: str | None, word: WordHash) -> tuple[int, ...]:
                 repeats = int(covered(np.flatnonzero(twice), 3, n).sum())
     count = text.count
     size = len(data)
-    return (len(text), n, len(text) - sum(map(count, _SPACE)), sum(map(count, SYMBOLS)), lines, again, repeats, distinct,
+    return (len(text), n, len(text) - sum(map(count, _SPACE)), sum(map(count, SYMBOLS)), lines, again, repeats, kinds,
             size - len(data.translate(None, _UPPER)), size - len(data.translate(None, _LOWER)), size - len(data.translate(None, _DIGIT)),
             count("!"), count("."), count(","), count("|"), following, longest)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word = WordHash()
     for batch in batches:
-        columns = list(zip(*(text_counts(t, word) for t in batch.column("text").to_pylist()))) or [()] * len(COUNTS)
+        columns = list(zip(*(text_counts(t) for t in batch.column("text").to_pylist()))) or [()] * len(COUNTS)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, WordHash, block_of, copies, covered, sliding_min, stored, with_blocks
+from attrix.llm.common import Rolling, block_of, copies, covered, distinct, sliding_min, stored, with_blocks, words_of
 
 WINDOW = 50
 PHRASE = 8
@@ -47,20 +47,20 @@ def _elected(hashes: np.ndarray, window: int, phrase: int) -> tuple[Rolling, np.
 
 def _scan(window: int, phrase: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = WordHash()
         for batch in batches:
             keys, phrases, ids, blocks = [], [], [], []
             for doc, text, block in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "block"))):
-                words = text.encode().split() if text and doc is not None else ()
-                if len(words) < window:
+                data = text.encode() if text and doc is not None else b""
+                hashes, starts, ends = words_of(data)
+                if len(hashes) < window:
                     continue
-                _, grams, least = _elected(np.fromiter(map(word.__getitem__, words), np.uint64, len(words)), window, phrase)
-                first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                value, at = np.unique(least[first], return_index=True)
-                for v, i in zip(value.view(np.int64).tolist(), first[at].tolist()):
-                    p = i + int(grams[i : i + window - phrase + 1].argmin())
-                    keys.append(v)
-                    phrases.append(b" ".join(words[p : p + phrase]))
+                _, grams, least = _elected(hashes, window, phrase)
+                value = distinct(least[np.concatenate([[True], least[1:] != least[:-1]])])
+                # A place of each elected phrase: any one, as all hold the same words.
+                order = np.argsort(grams)
+                at = order[np.searchsorted(grams[order], value)]
+                keys += value.view(np.int64).tolist()
+                phrases += [b" ".join(data[s:e].split()) for s, e in zip(starts[at].tolist(), ends[at + phrase - 1].tolist())]
                 ids += [doc] * len(value)
                 blocks += [block] * len(value)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(phrases, pa.binary()), pa.array(ids, pa.int64()), pa.array(blocks, pa.int32())], ["phrase_hash", "phrase", "doc_id", "block"])
@@ -78,36 +78,33 @@ def confirmed_phrases(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
 #: A word number is written as so many symbols of so many bits: nodes of the automaton keep their children in a list,
 #: so a small alphabet keeps every step short.
 SYMBOLS, BITS = 4, 5
-_OTHER = "\0" * SYMBOLS
 
 
-def _code(number: int) -> str:
-    return "".join(chr(1 + (number >> BITS * i & (1 << BITS) - 1)) for i in range(SYMBOLS))
+def _written(numbers: np.ndarray) -> str:
+    """Word numbers as a string, ``SYMBOLS`` characters each."""
+    digits = (numbers[:, None] >> (BITS * np.arange(SYMBOLS))) & ((1 << BITS) - 1)
+    return (digits + 1).astype(np.uint8).tobytes().decode("latin-1")
 
 
-class WordCodes(dict):
-    """Symbols of each word that a phrase has; all other words share one code."""
+class Phrases:
+    """An Aho-Corasick automaton over the words of some phrases; words are numbered, 0 is any word of no phrase."""
 
-    def __missing__(self, word: bytes) -> str:
-        return _OTHER
+    def __init__(self, phrases: list[bytes], length: int):
+        hashes = words_of(b" ".join(phrases))[0]
+        self.known = distinct(hashes)
+        numbers = np.searchsorted(self.known, hashes).reshape(-1, length) + 1
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for row in numbers:
+            self.machine.add_word(_written(row))
+        self.machine.make_automaton()
 
-
-def compile_phrases(phrases: list[bytes]) -> tuple[WordCodes, ahocorasick.Automaton]:
-    """Codes of the words and an automaton that knows the phrases as sequences of codes."""
-    codes, machine = WordCodes(), ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases:
-        words = p.split()
-        for w in words:
-            if w not in codes:
-                codes[w] = _code(len(codes))
-        machine.add_word("".join([codes[w] for w in words]))
-    machine.make_automaton()
-    return codes, machine
-
-
-def occurrences(codes: WordCodes, machine: ahocorasick.Automaton, words: list[bytes]) -> list[int]:
-    """Index of the last word of every phrase occurrence; matches off the word grid are none."""
-    return [e // SYMBOLS for e, _ in machine.iter("".join(map(codes.__getitem__, words))) if e % SYMBOLS == SYMBOLS - 1]
+    def ends(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the last word of every phrase occurrence; matches off the word grid are none."""
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        numbers = np.where(self.known[at] == hashes, at + 1, 0)
+        found = np.array([e for e, _ in self.machine.iter(_written(numbers))], int)
+        return found[found % SYMBOLS == SYMBOLS - 1] // SYMBOLS
 
 
 def _stream(window: int, phrase: int):
@@ -115,19 +112,21 @@ def _stream(window: int, phrase: int):
         known = side.filter(pc.is_valid(side["phrase"]))
         skip = set(side.filter(pc.is_null(side["phrase"]))["doc_id"].to_pylist())
         keys, ids, starts, wins = [], [], [], []
-        word, done = WordHash(), set()
-        codes, machine = compile_phrases(known["phrase"].to_pylist()) if len(known) else (None, None)
+        done = set()
+        machine = Phrases(known["phrase"].to_pylist(), phrase) if len(known) else None
         for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()) if machine else ():
-            words = text.encode().split() if text and doc is not None and doc not in skip else ()
-            if len(words) < window or (doc, text) in done:
+            if not text or doc is None or doc in skip or (doc, text) in done:
                 continue
             done.add((doc, text))
-            ends = occurrences(codes, machine, words)
-            if not ends:
+            hashes = words_of(text.encode())[0]
+            if len(hashes) < window:
+                continue
+            ends = machine.ends(hashes)
+            if not len(ends):
                 continue
-            roll, grams, least = _elected(np.fromiter(map(word.__getitem__, words), np.uint64, len(words)), window, phrase)
+            roll, grams, least = _elected(hashes, window, phrase)
             located = np.full(len(grams), np.iinfo(np.uint64).max)
-            at = np.array(ends) - phrase + 1
+            at = ends - phrase + 1
             located[at] = grams[at]
             hit = np.flatnonzero(sliding_min(located, window - phrase + 1) == least)
             if not len(hit):
