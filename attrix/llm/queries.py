@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
 from attrix.llm.embedding_dedup import embedding_dedup
 from attrix.llm.packing import pack
+from attrix.llm.pii_boost import find_pii
 from attrix.llm.quality_votes import quality_votes
 from attrix.llm.rule_ensemble import held_out, rule_ensemble
 from attrix.llm.shingle_join import shingle_join
 from attrix.llm.substring_dedup import substring_dedup
+from attrix.llm.toxicity_grammar import toxicity_grammar
 from attrix.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,14 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_grammar(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"), with_text=False)
