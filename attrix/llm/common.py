@@ -48,14 +48,33 @@ def block_of(blocks: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
 
 
-def with_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(doc_id, text, block): ids are dealt to blocks by hash; the number of blocks follows the size of the text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def with_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, block[, row]): ids are dealt to blocks by hash; the number of blocks follows the size of the text.
+
+    ``row`` has the other columns of the input, as one struct, so that no name clashes.
+    """
+    docs = documents(docs, id_col, text_col, keep)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(BLOCKS_PER_PARTITION * shuffle_partitions(docs.sparkSession), -(-total // BLOCK_BYTES))
     return docs.withColumn("block", block_of(blocks)), blocks
 
 
+def documents(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """(doc_id, text[, row]): ``row`` is a struct of all input columns."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if keep else []))
+
+
+def restored(df: DataFrame, text: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``row`` with a new text; ``n_chars``, if there, counts it."""
+    new = {text_col: F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in df.schema["row"].dataType.names else {})
+    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in df.schema["row"].dataType.names])
+
+
+def row_schema(df: DataFrame) -> str:
+    """The ``row`` column for the schema of a function over Arrow batches, if there is one."""
+    return ", row " + df.schema["row"].dataType.simpleString() if "row" in df.columns else ""
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """Exact copies: (doc_id, first_id, copies) of every text that more than one id has; null ids take no part."""
     texts = docs.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).distinct()

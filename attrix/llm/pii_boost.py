@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import documents, row_schema, stored
 from attrix.llm.trees import evaluate, tree_paths
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,13 +224,14 @@ def _apply(trees: list, weights: list[float], thresholds: list[float], with_text
                 base = written([(k, s, e) for k, spans in enumerate(good) for s, e in spans])
                 rows.append((*map(len, good), hashlib.sha256(base.encode()).hexdigest(), written(every), *([redacted(text, every) if text else text] if with_text else [])))
             a = list(zip(*rows)) or [()] * (6 + with_text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in a[:4]), *(pa.array(x, pa.string()) for x in a[4:])],
-                                             ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"][: 7 + with_text])
+            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *(["redacted", "row"] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in a[:4]), *(pa.array(x, pa.string()) for x in a[4:]),
+                                              *([batch.column("row")] if with_text else [])], names)
     return apply
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, redacted]): one row per input row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", redacted string" if with_text else "")
-    return docs.mapInArrow(_apply(*fit(docs), with_text), schema)
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans[, redacted, row]): one row per input row."""
+    whole = documents(docs, id_col, text_col, with_text)
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", redacted string" + row_schema(whole) if with_text else "")
+    return whole.mapInArrow(_apply(*fit(whole.select("text")), with_text), schema)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import documents, stored
 from attrix.llm.statistics import with_counts, with_ratios
 
 #: name: (bad if, good if); otherwise the rule abstains.
@@ -73,7 +73,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray,
 
 def quality_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality, votes)."""
-    table = stored(with_ratios(with_counts(docs, id_col, text_col)).select(
+    table = stored(with_ratios(with_counts(documents(docs, id_col, text_col))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.concat(*vote_columns()).alias("votes")), "votes")
     patterns = table.groupBy("votes").count().collect()  # at most 3 ** rules rows
     names = [r["votes"] for r in patterns]

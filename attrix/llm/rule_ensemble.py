@@ -14,12 +14,14 @@ score per row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import documents, stored
 from attrix.llm.statistics import RATIOS, with_counts, with_ratios
 from attrix.llm.trees import Condition, tree_paths
 
@@ -33,10 +35,10 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled(features: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
-    """A bounded sample of labelled rows for training, in hash order of their ids."""
+def labelled(labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
+    """(doc_id, label): a bounded sample of labelled rows for training, in hash order of their ids."""
     known = labels.where(train & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("label"))
-    return features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def rule_column(rule: tuple[Condition, ...], names: list[str]) -> Column:
@@ -52,13 +54,11 @@ def fit_rules(sample: DataFrame, names: list[str] = INPUTS) -> tuple[float, list
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(kinds) < 2:
         good, n = kinds.get(1.0, 0), sum(kinds.values())
-        from math import log
         return log((good + 1) / (n - good + 1)), []
     sample = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
     forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64, subsamplingRate=0.7).fit(sample)
     rules = sorted({path[:k] for leaves in tree_paths(forest) for path, _ in leaves for k in range(1, len(path) + 1)})
     if not rules:
-        from math import log
         return log((kinds[1.0] + 1) / (kinds[0.0] + 1)), []
     flags = sample.select("label", *[rule_column(r, names).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     flags = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="rules").transform(flags).select("label", "rules").persist()
@@ -78,10 +78,16 @@ def score_column(intercept: float, rules: list[tuple[tuple[Condition, ...], floa
     return 1 / (1 + F.exp(-total))
 
 
+def fitted_score(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "quality", rows: int = LABELLED_ROWS) -> Column:
+    """The score of (doc_id, text) rows as a column over their statistics."""
+    known = stored(labelled(labels, label, F.lit(True) if train is None else train, rows), "labels")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``rows`` labels
+    return score_column(*fit_rules(stored(with_ratios(with_counts(sample)).coalesce(2), "sample")))
+
+
 def rule_ensemble(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-                  label: str = "quality", rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, score, predicted): one row per input row. ``train`` is a condition on the labels' doc_id."""
-    features = stored(with_ratios(with_counts(docs, id_col, text_col)).select("doc_id", *INPUTS), "statistics")
-    sample = stored(labelled(features, labels, label, F.lit(True) if train is None else train, rows).coalesce(2), "sample")
-    score = score_column(*fit_rules(sample))
-    return features.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+                  label: str = "quality", rows: int = LABELLED_ROWS, keep: bool = False) -> DataFrame:
+    """(doc_id, score, predicted[, row]): one row per input row. ``train`` is a condition on the labels' doc_id."""
+    score = fitted_score(documents(docs, id_col, text_col), labels, train, label, rows)
+    counted = with_ratios(with_counts(documents(docs, id_col, text_col, keep)))
+    return counted.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *(["row"] if keep else []))

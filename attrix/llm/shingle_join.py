@@ -210,10 +210,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(percent), "a long, b long")
 
 
-def matching_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids; a list of checked size is broadcast, a longer one is shuffled with the rows."""
+def matching_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose id is (or, by "left_anti", is not) in ids.
+
+    A list of checked size is broadcast, a longer one is shuffled with the rows.
+    """
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
 def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

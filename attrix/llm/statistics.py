@@ -57,14 +57,15 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = list(zip(*(text_counts(t) for t in batch.column("text").to_pylist()))) or [()] * len(COUNTS)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])
+        columns = list(zip(*map(text_counts, batch.column("text").to_pylist()))) or [()] * len(COUNTS)
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(pa.array(c, pa.int64()) for c in columns)], [*others, *COUNTS])
 
 
-def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``COUNTS``, a row per input row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_counts, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+def with_counts(docs: DataFrame) -> DataFrame:
+    """``COUNTS`` of the column text, which they replace; a row per input row."""
+    others = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return docs.mapInArrow(_counts, ", ".join(others + [f"{c} long" for c in COUNTS]))
 
 
 #: Ratios of the counts that do not depend on the length of a text.

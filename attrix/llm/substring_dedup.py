@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, block_of, copies, covered, distinct, sliding_min, stored, with_blocks, words_of
+from attrix.llm.common import Rolling, block_of, copies, covered, distinct, row_schema, sliding_min, stored, with_blocks, words_of
 
 WINDOW = 50
 PHRASE = 8
@@ -160,7 +160,7 @@ def _cut(window: int, with_text: bool):
         owner, start = part["doc_id"].to_numpy(), part["start"].to_numpy()
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
         starts = dict(zip(owner[at].tolist(), np.split(start, at[1:])))
-        ids, total, removed, digests, kept = [], [], [], [], []
+        total, removed, digests, kept = [], [], [], []
         for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist()):
             words = text.encode().split() if text else []
             n = len(words)
@@ -169,21 +169,24 @@ def _cut(window: int, with_text: bool):
             elif doc in starts:
                 words = [w for w, gone in zip(words, covered(starts[doc], window, n).tolist()) if not gone]
             rest = b" ".join(words)
-            ids.append(doc)
             total.append(n)
             removed.append(n - len(words))
             digests.append(hashlib.sha256(rest).hexdigest())
-            if with_text:
-                kept.append(rest.decode())
-        columns = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(columns | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
+            kept.append(rest.decode() if len(words) < n else text)
+        columns = {"doc_id": docs["doc_id"], "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        return pa.table(columns | ({"kept": pa.array(kept, pa.string()), "row": docs["row"]} if with_text else {}))
     return cut
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                     phrase: int = PHRASE, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]): one row per input row, ``kept`` its remaining words."""
-    docs, blocks = with_blocks(docs, id_col, text_col)
+    """(doc_id, n_words, n_removed, kept_sha256[, kept, row]): one row per input row.
+
+    ``kept`` is the text itself if nothing was removed, else the remaining words joined by a space (which the digest is
+    of in either case); ``row`` has the input columns.
+    """
+    whole, blocks = with_blocks(docs, id_col, text_col, with_text)
+    docs = whole.select("doc_id", "text", "block")
     later = stored(copies(docs).where("doc_id > first_id").select("doc_id", block_of(blocks).alias("block")), "copies")
     runs = stored(locate(docs, confirmed_phrases(docs, window, phrase), later, window, phrase), "windows")
     windows = (runs.select("phrase_hash", "doc_id", "start", F.posexplode("windows").alias("nth", "window"))
@@ -194,5 +197,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = (windows.join(origin, ["phrase_hash", "window"]).where("doc_id > first_id")
             .select("doc_id", "start", block_of(blocks).alias("block")))
     side = gone.unionByName(later, allowMissingColumns=True)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return docs.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_cut(window, with_text), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" + row_schema(whole) if with_text else "")
+    return whole.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_cut(window, with_text), schema)

@@ -219,8 +219,7 @@ def toxicity_grammar(docs: DataFrame, labels: DataFrame, train: Column | None =
                      label: str = "toxic", rows: int = LABELLED_ROWS) -> DataFrame:
     """(doc_id, score, predicted): one row per input row. ``train`` is a condition on the labels' doc_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = labelled(docs.select("doc_id"), labels, label, F.lit(True) if train is None else train, rows).select("doc_id", "label")
-    known = stored(known.groupBy("doc_id").agg(F.max("label").alias("label")), "labels")
+    known = stored(labelled(labels, label, F.lit(True) if train is None else train, rows), "labels")
     sample = stored(docs.join(F.broadcast(known), "doc_id"), "sample")  # at most ``rows`` labels
     stems = learned_stems(sample)
     table = stored(match_table(docs, stems), "matches")
