@@ -13,6 +13,7 @@ from attrix.llm.packing import pack
 from attrix.llm.pii_boost import find_pii
 from attrix.llm.quality_votes import quality_votes
 from attrix.llm.rule_ensemble import held_out, rule_ensemble
+from attrix.llm.sentencepiece_scan import encode
 from attrix.llm.shingle_join import shingle_join
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.llm.toxicity_grammar import toxicity_grammar
@@ -72,3 +73,8 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
