@@ -47,7 +47,7 @@ VERIFY_COST, COMMON_SHARE = 20.0, 0.05
 BANDS_IN_USE = 12
 #: Nodes per signature that are compared across components at once; larger groups go by pivots.
 SMALL_GROUP = 16
-PIVOTS = 32
+PIVOTS = 128
 #: Partners of one node that are verified together, and bytes of sets per verifying group.
 PARTNERS, GROUP_BYTES = 256, 4 << 20
 #: Ids that a semi-join broadcasts at most (8 bytes each); beyond it the text is shuffled.
@@ -169,45 +169,91 @@ def _scan(percent: int, documents: int, words: int):
     return scan
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: bit i tells whether an odd number of shingles fall on i. A power of two of 64-bit words.
+
+    Two bitmaps differ in at most as many bits as the sets differ in shingles, also when a larger one is folded.
+    """
+    bits = 64 << max(0, (len(shingles) - 1) // 16).bit_length()
+    odd = np.bincount((scrambled(shingles ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(set_digest(s)) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([set_key(set_digest(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
+                pa.array([len(s).to_bytes(8, "little") + parity_bits(s).tobytes() for s in found], pa.binary())], ["node", "key", "shingles", "bits"])
     return sets
 
 
-def _verify(percent: int):
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+def _may_link(percent: int):
+    """Key pairs whose sizes and parity bitmaps leave a link possible."""
+    def may_link(a: bytes, b: bytes) -> bool:
+        x, y = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+        if 100 * min(x, y) < percent * max(x, y):
+            return False
+        p, q = np.frombuffer(a, np.uint64, offset=8), np.frombuffer(b, np.uint64, offset=8)
+        if len(p) != len(q):
+            least = min(len(p), len(q))
+            p, q = folded(p, least), folded(q, least)
+        # percent of the union in common: the sets differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
+        return int(np.bitwise_count(p ^ q).sum()) * (100 + percent) <= (100 - percent) * (x + y)
+    return may_link
+
+
+def _do_link(percent: int):
+    """Whole sets compared."""
+    def do_link(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        same = int((x[at] == y).sum())
+        return 100 * same >= percent * (len(x) + len(y) - same)
+    return do_link
+
+
+def _compare(test, result: str):
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         mine: dict[int, list] = {}
-        for a, node, shingles in zip(left["a"].to_pylist(), left["node"].to_pylist(), left["shingles"]):
-            mine.setdefault(a, []).append((node, shingles.values.to_numpy().view(np.uint64)))
+        for a, out, payload in zip(left["a"].to_pylist(), left[result].to_pylist(), left["payload"].to_pylist()):
+            mine.setdefault(a, []).append((out, payload))
         links = set()
-        for a, node, shingles in zip(right["a"].to_pylist(), right["node"].to_pylist(), right["shingles"]):
-            y = shingles.values.to_numpy().view(np.uint64)
-            for other, x in mine.get(a, ()):
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    same = int((x[at] == y).sum())
-                    if 100 * same >= percent * (len(x) + len(y) - same):
-                        links.add((other, node))
+        for a, out, payload in zip(right["a"].to_pylist(), right[result].to_pylist(), right["payload"].to_pylist()):
+            links.update((other, out) for other, x in mine.get(a, ()) if test(x, payload))
         return pa.table([pa.array(x, pa.int64()) for x in (zip(*links) if links else ((), ()))], ["a", "b"])
-    return verify
+    return compare
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): node pairs of the key pairs (a, b) whose sets are similar enough. A key with very many partners is split."""
-    pairs = stored(pairs.distinct(), "pairs")
+def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str) -> DataFrame:
+    """(a, b): ``result`` of the sets whose key pairs (a, b) pass the test on their payloads.
+
+    Pairs are grouped by their first key; a key with very many partners is split, with its payload sent to each part.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    size = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
-    groups = max(4 * shuffle_partitions(pairs.sparkSession), -(-8 * size // GROUP_BYTES))
+    size = sets.agg(F.sum(F.octet_length(payload)).alias("n")).first()["n"] or 0
+    groups = max(4 * shuffle_partitions(pairs.sparkSession), -(-size // GROUP_BYTES))
     group = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int").alias("g")
-    fresh = [F.col(c).alias(c) for c in ("g", "a", "node", "shingles")]  # both sides read one table; aliases tell them apart
+    # Both sides read one table; aliases tell them apart.
+    fresh = [F.col("g").alias("g"), F.col("a").alias("a"), F.col("other" if result == "key" else "node").alias(result), F.col(payload).alias("payload")]
+    sets = sets.select("key", "node", payload, F.col("key").alias("other"))
     left = pairs.select("a", "part", group).distinct().join(sets.withColumnRenamed("key", "a"), "a").select(*fresh)
     right = pairs.select("a", "b", group).join(sets.withColumnRenamed("key", "b"), "b").select(*fresh)
-    return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_verify(percent), "a long, b long")
+    return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_compare(test, result), "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): node pairs of the key pairs (a, b) whose sets are similar enough; bitmaps spare most of the whole sets."""
+    pairs = stored(pairs.distinct(), "pairs")
+    likely = stored(compared(pairs, sets, "bits", _may_link(percent), "key"), "likely")
+    return compared(likely, sets, "shingles", _do_link(percent), "node")
 
 
 def matching_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -233,7 +279,7 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = groups.select("key").distinct()
     nodes = stored(classes.join(keys, "key").select("key", "node"), "nodes")
     sets = stored(matching_ids(docs.where("doc_id is not null"), nodes.select(F.col("node").alias("doc_id")))
-                  .dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "node long, key long, shingles array<long>"), "shingles")
+                  .dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "node long, key long, shingles binary, bits binary"), "shingles")
 
     links = stored(verified(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), sets, percent), "links")
     parts = stored(connected_components(links), "components")
