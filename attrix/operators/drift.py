@@ -37,23 +37,17 @@ REFERENCE_SCHEMA = T.StructType([
     T.StructField("hi", T.DoubleType()), T.StructField("proportion", T.DoubleType())])
 
 
-def _round10(x: float) -> float:
-    """rint(x * 1e10) / 1e10: the same float steps as the SQL oracle."""
-    import numpy as np
-    return float(np.rint(x * 1e10) / 1e10)
+def edge_column(q: Column) -> Column:
+    """H2: bin edges of a column's deciles: inner ones at ten decimals without repeats, open ends (Q16: maybe one bin)."""
+    cuts = F.array_distinct(F.transform(q, lambda x: F.rint(x * 1e10) / 1e10))
+    inner = F.when(F.size(cuts) > 2, F.slice(cuts, 2, F.size(cuts) - 2)).otherwise(F.array().cast("array<double>"))
+    return F.concat(F.array(F.lit(-math.inf)), inner, F.array(F.lit(math.inf)))
 
 
-def decile_edges(qs: list[float] | None, lo: float | None, hi: float | None) -> list[float]:
-    """H2: unique rounded deciles with +-inf ends (Q16: may collapse to one bin)."""
-    if qs is None:
-        return [-math.inf, math.inf]
-    edges = sorted({_round10(b) for b in qs})
-    if len(edges) < 2:
-        edges = [float(lo), float(hi)]
-        if edges[0] == edges[1]:
-            edges[1] += 1e-9
-    edges[0], edges[-1] = -math.inf, math.inf
-    return edges
+def decile_edges(spark: SparkSession, deciles: dict[str, list[float] | None]) -> dict[str, list[float]]:
+    """H2: edges per column (one row per column)."""
+    rows = spark.createDataFrame([(c, q or []) for c, q in deciles.items()], "name string, q array<double>")
+    return {r["name"]: r["edges"] for r in rows.select("name", edge_column(F.col("q")).alias("edges")).collect()}
 
 
 def _bin_expr(c: str, edges: list[float]) -> Column:
@@ -94,7 +88,7 @@ def build_reference(df: DataFrame, columns: list[str]) -> DataFrame:
     q = quantiles(df, cont, [i / N_BINS for i in range(N_BINS + 1)])
     mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cont)],
                 *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cont)]).first() if cont else {}
-    edges = {c: decile_edges(q[c][0], mm[f"lo_{i}"], mm[f"hi_{i}"]) for i, c in enumerate(cont)}
+    edges = decile_edges(spark, {c: q[c][0] for c in cont}) if cont else {}
     shares = _shares(df, columns, edges)
     # Numeric bins: every bin present (empty ones at 0), with its edges.
     rows = [(c, str(k), e[k], e[k + 1]) for c, e in edges.items() for k in range(len(e) - 1)]

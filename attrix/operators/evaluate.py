@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N_BUCKETS = 65536
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 256
 
 
 def hash_order(key, seed: int = 42) -> Column:
@@ -88,14 +88,15 @@ def roc_auc(df: DataFrame, label: str, score: str, group: list[str] | None = Non
     group = list(group or [])
     per_value = df.groupBy(*group, F.col(score).alias("__s")).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) != 1).alias("__neg"))
-    per_value = per_value.withColumn(
-        "__b", F.least(F.greatest(F.floor(F.col("__s") * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1)).cast("int"))
+    # Bucket edges follow the scores, wherever they crowd; any edges give the same area.
+    edges = per_value.agg(F.percentile_approx("__s", [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)], 10_000)).first()[0] or []
+    known = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    per_value = per_value.withColumn("__b", F.size(F.filter(known, lambda e: e < F.col("__s"))))
     buckets = per_value.groupBy(*group, "__b").agg(F.sum("__neg").alias("__bn"))
     wb = Window.partitionBy(*group).orderBy("__b") if group else Window.orderBy("__b")
     buckets = buckets.select(*group, "__b", (F.sum("__bn").over(wb.rowsBetween(Window.unboundedPreceding, 0))
                                              - F.col("__bn")).alias("__neg_before_bucket"))
-    # At most groups x 4096 rows: bounded by construction.
-    x = per_value.join(F.broadcast(buckets), group + ["__b"])
+    x = per_value.join(buckets, group + ["__b"])
     wi = Window.partitionBy(*group, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("__neg_below", F.col("__neg_before_bucket") + F.coalesce(F.sum("__neg").over(wi), F.lit(0)))
     agg = x.groupBy(*group).agg(

@@ -15,7 +15,6 @@ Only queries still unresolved take part in the next round.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def _cell_key(cell: Column) -> Column:
 
 def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: str, rid: str,
         label: str | None = None, exclude_self: bool = False, grid_dims: int = 3,
-        target_per_cell: int = 64, max_rounds: int = 32) -> DataFrame:
+        target_per_cell: int = 64) -> DataFrame:
     """Exact k nearest reference points of every query.
 
     Returns ``(qid, neighbours)`` where ``neighbours`` is an array of
@@ -76,6 +75,8 @@ def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: s
     With ``exclude_self`` the query's own id is removed (queries and refs share ids).
     """
     d = len(features)
+    _refuse_nulls(queries, features)
+    _refuse_nulls(refs, features)
     lab = F.col(label).cast("double") if label else F.lit(0.0)
     r_pts = refs.select(F.col(rid).alias("__rid"), _vec(features).alias("v"), lab.alias("__l"))
     # Distinct vectors with multiplicity: map-side combined, a hot vector is one row.
@@ -91,10 +92,12 @@ def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: s
     resolved = None
     pending = q
     ring = 1
-    for _ in range(max_rounds):
-        offsets = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in _offsets(len(dims), ring)])
-        cand_cells = pending.select("qid", "qv", "qcell", F.explode(offsets).alias("off")).select(
-            "qid", "qv", "qcell", _cell_key(F.zip_with("qcell", "off", lambda a, b: a + b)).alias("cell"))
+    while True:
+        cand_cells = pending.withColumn("cells", F.array())
+        for j in range(len(dims)):   # the block of cells around a query, one dimension after the other
+            lo, hi = F.greatest(F.col("qcell")[j] - ring, F.lit(0)), F.least(F.col("qcell")[j] + ring, F.lit(nb[dims[j]] - 1))
+            cand_cells = cand_cells.withColumn("at", F.explode(F.sequence(lo, hi))).withColumn("cells", F.concat(F.col("cells").cast("array<int>"), F.array("at"))).drop("at")
+        cand_cells = cand_cells.select("qid", "qv", "qcell", _cell_key(F.col("cells")).alias("cell"))
         pairs = cand_cells.join(r, "cell").select("qid", "qv", "qcell", "v", "cnt", "lsum",
                                                   _dist(F.col("qv"), F.col("v")).alias("dist"))
         # k nearest distinct vectors per query (two-stage by salt so a dense query never sorts alone).
@@ -116,10 +119,12 @@ def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: s
         top = cut_lineage(top.withColumn("__ok", ok))
         done = top.where("__ok").select("qid", "nbrs")
         resolved = done if resolved is None else resolved.unionByName(done)
-        left = top.where(~F.col("__ok")).select("qid")
-        if left.limit(1).count() == 0:
+        if ring >= max_ring:
+            break
+        # Also queries whose cells held no reference point, which have no row in ``top``, are tried again.
+        pending = cut_lineage(pending.join(done, "qid", "left_anti"))
+        if pending.isEmpty():
             break
-        pending = pending.join(left, "qid", "left_semi")
         ring = min(ring * 2, max_ring)
     out = resolved
     if exclude_self:
@@ -139,10 +144,12 @@ def _drop_self(nbrs: Column) -> Column:
     return F.when(first["dist"] == 0.0, reduced).otherwise(nbrs)
 
 
-def _offsets(g: int, ring: int):
-    import itertools
-    rng = range(-ring, ring + 1)
-    return list(itertools.product(rng, repeat=g))
+def _refuse_nulls(df: DataFrame, features: list[str]) -> None:
+    """Distances need every coordinate; impute before."""
+    seen = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)]).first()
+    empty = [c for i, c in enumerate(features) if seen[i]]
+    if empty:
+        raise ValueError(f"null values in {', '.join(empty)}; impute them first")
 
 
 def _block_gap(qv: Column, qcell: Column, dims: list[int], edges: dict, ring: int) -> Column:
@@ -201,7 +208,9 @@ def smote(df: DataFrame, label: str, key: str, features: list[str] | None = None
     reps = F.lit(base) + F.when(F.col("class_rank") <= extra, 1).otherwise(0)
     x = ranked.join(nn, key).where(reps > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), reps)))
     # Neighbour index (0-based over the k nearest points, multiplicities expanded).
-    pick = (F.abs(F.xxhash64(F.col(key), F.col("__i"), F.lit(seed))) % k)
+    there = F.aggregate("neighbours", F.lit(0).cast("long"), lambda n, y: n + y["cnt"])
+    x = x.where(there > 0)   # a class of one row has no neighbour to go towards
+    pick = F.pmod(F.xxhash64(F.col(key), F.col("__i"), F.lit(seed)), F.least(F.lit(k).cast("long"), there))
     u = (F.abs(F.xxhash64(F.col(key), F.col("__i"), F.lit(seed + 1))) % 1_000_000) / 1_000_000.0
     chosen = F.aggregate("neighbours", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("array<double>").alias("v")),
                          lambda acc, y: F.struct((acc["c"] + y["cnt"]).alias("c"),
@@ -217,12 +226,3 @@ def smote(df: DataFrame, label: str, key: str, features: list[str] | None = None
 def enumerate_feats(columns: list[str], feats: list[str]):
     idx = {c: i for i, c in enumerate(feats)}
     return [(idx.get(c, -1), c) for c in columns]
-
-
-def brute_force_knn(points: list[tuple], queries: list[tuple], k: int) -> dict:
-    """Reference answer for tests: k smallest distances per query (pure Python)."""
-    out = {}
-    for qi, qv in queries:
-        ds = sorted(math.dist(qv, pv) for _, pv in points)
-        out[qi] = ds[:k]
-    return out

@@ -1,41 +1,54 @@
 """Distributed statistics shared by cleaning, drift and metrics.
 
-Quantiles: Spark's exact ``percentile`` keeps a value->count map per group, so
-its memory grows with the number of distinct values. ``quantiles`` therefore
-checks the distinct count first (``approx_count_distinct``, one cheap pass) and
-uses the exact aggregate only under ``exact_limit`` distinct values; above it the
-column falls back to ``percentile_approx`` (bounded GK sketch). The method used is
-returned with the values so callers can report it.
+Quantiles are exact at every size: distinct values are counted (map-side combined, so a hot value is one row), the counts
+are range-partitioned by (column, value), the partitions' totals give every value its global rank, and only the
+two neighbours of each wanted rank reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT_LIMIT = 2_000_000
-APPROX_ACCURACY = 100_000
+from ..session import cut_lineage
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              exact_limit: int = EXACT_DISTINCT_LIMIT) -> dict[str, tuple[list[float] | None, str]]:
-    """Linear-interpolated quantiles of several columns in one aggregation pass."""
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, tuple[list[float] | None, str]]:
+    """Linear-interpolated quantiles of several columns, with the method's name."""
     if not columns:
         return {}
-    nd = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    aggs, methods = [], {}
-    arr = F.array(*[F.lit(float(p)) for p in probs])
+    spark = df.sparkSession
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Range bounds are sampled anew whenever the plan runs, so the placed counts are written once.
+    placed = cut_lineage(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
+    totals = placed.groupBy("c", "part").agg(F.sum("n").alias("t"))
+    w = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("c", "part", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before"))
+    sizes = {r["c"]: r["n"] for r in totals.groupBy("c").agg(F.sum("t").alias("n")).collect()}
+    wanted = sorted({(i, rank) for i, n in sizes.items() for p in probs for rank in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    if not wanted:
+        return {c: (None, "exact") for c in columns}
+    ranks = spark.createDataFrame(wanted, "c int, rank long")  # two per column and quantile
+    run = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.withColumn("upto", F.sum("n").over(run)).join(base, ["c", "part"]).select(
+        "c", "v", (F.col("before") + F.col("upto") - F.col("n")).alias("lo"), (F.col("before") + F.col("upto")).alias("hi"))
+    found = {(r["c"], r["rank"]): r["v"] for r in ends.join(F.broadcast(ranks), "c").where("lo <= rank and rank < hi").select("c", "rank", "v").collect()}
+    out = {}
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        if nd[f"d{i}"] <= exact_limit:
-            aggs.append(F.percentile(x, arr).alias(f"q{i}"))
-            methods[c] = "exact"
-        else:
-            aggs.append(F.percentile_approx(x, arr, APPROX_ACCURACY).alias(f"q{i}"))
-            methods[c] = "approx"
-    row = df.agg(*aggs).first()
-    return {c: (None if row[f"q{i}"] is None else [float(v) for v in row[f"q{i}"]], methods[c])
-            for i, c in enumerate(columns)}
+        if i not in sizes:
+            out[c] = None, "exact"
+            continue
+        values = []
+        for p in probs:
+            at = (sizes[i] - 1) * p
+            lo, hi = math.floor(at), math.ceil(at)
+            a, b = found[i, lo], found[i, hi]
+            values.append(float(a) if a == b else (hi - at) * a + (at - lo) * b)
+        out[c] = values, "exact"
+    return out
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:

@@ -137,12 +137,23 @@ def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks
     ``balance="smote"`` oversamples the minority class of each training set
     (never the evaluation rows); ``balance="weight"`` uses class weights instead.
     """
+    held: list[DataFrame] = []
+    try:
+        return _train_and_select(df, target, key, ids, leaks, models, folds, test_pct, balance, held)
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+def _train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks: list[str], models: dict | None, folds: int,
+                      test_pct: int, balance: str | None, held: list[DataFrame]) -> TrainResult:
     spark = df.sparkSession
     prep = prepare(df, target, ids, leaks, key=key)
     split = E.stratified_split(prep.frame, "label", key, test_pct, SEED)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = E.assign_folds(split.where(~F.col("is_test")).drop("class_rank", "class_n"), "label", key, folds, SEED)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    held += [split, train]
     test = split.where(F.col("is_test"))
     n_rows = train.count()
     if models is None or isinstance(models, (list, tuple)):
@@ -180,8 +191,6 @@ def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks
     reason = E.selection_sentence(board, "model", "test_roc_auc", "test_f1").first()["reason"]
     final = Pipeline(stages=prep.stages + [_with_weight(models[best], balance)]).fit(
         _balanced(prep.frame, balance, key))
-    split.unpersist()
-    train.unpersist()
     return TrainResult(format_leaderboard(board), best, final, reason)
 
 
@@ -206,7 +215,9 @@ def _with_weight(est, balance):
 def _balanced(df: DataFrame, balance: str | None, key: str) -> DataFrame:
     if balance == "smote":
         from .neighbors import smote
-        return smote(df, "label", key)
+        named = [c for c in df.columns if c not in ("label", key, "fold", "class_rank", "class_n", "is_test")]
+        numeric = [c for c, t in df.dtypes if c in named and t in ("double", "float", "int", "bigint")]
+        return smote(df.drop("class_rank", "class_n", "fold", "is_test"), "label", key, numeric)
     if balance == "weight":
         counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
         total = counts.agg(F.sum("__n")).first()[0]

@@ -94,7 +94,7 @@ def documents_scan(spark, sf):
 
 # A prior result is fresh iff its age (abs(Balance) % 3600 s, at microsecond precision) is under the TTL.
 @register("reuse_ttl", with_(SCORED) + """
-SELECT CustomerId, CASE WHEN CAST(abs(Balance) % 3600 AS DECIMAL(18, 6)) < 1800 THEN 'reused' ELSE 'computed' END AS status
+SELECT CustomerId, CASE WHEN CAST(abs(Balance) % 3600 AS DECIMAL(18, 6)) <= 1800 THEN 'reused' ELSE 'computed' END AS status
 FROM scored""")
 def reuse_ttl(spark, sf):
     """Requests reuse prior results younger than 1800 s; the others are recomputed."""

@@ -31,7 +31,7 @@ def _events_with_level(spark, sf, stream=True):
     events = read_table(spark, sf, "events")
     demo = fixtures.demo_clients(spark, sf).select("id", rule_score().alias("rule_score"))
     if stream:
-        src = M.stage_source(events, "events", order_by="ts")
+        src = M.stage_source(events, "events")
         events = M.file_stream(spark, src, events.schema)
         # The static side of a stream-static join is re-evaluated in every micro-batch:
         # write the per-customer scores once (shared scratch folder), join the table.
@@ -72,7 +72,7 @@ def stream_drift(spark, sf):
     ref_total = before.select(F.count(F.lit(1))).scalar()
     ref = (before.groupBy(F.col("event_type").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
            .select("bin", (F.col("n") / ref_total).alias("p_ref")))
-    src = M.stage_source(events.withColumnRenamed("event_type", "bin"), "events-drift", order_by="ts")
+    src = M.stage_source(events.withColumnRenamed("event_type", "bin"), "events-drift")
     stream = M.file_stream(spark, src, events.withColumnRenamed("event_type", "bin").schema)
     out, ck = scratch_path(spark, "m2-out"), scratch_path(spark, "m2-ck")
     M.run(M.windowed_counts(stream, "ts", ["bin"], "1 day", "1 day", out, ck))
@@ -99,13 +99,18 @@ def stream_drift(spark, sf):
                       (F.rint((F.col("present") + all_ref - F.col("seen")) * 10000) / 10000).alias("psi"))
 
 
-@register("stream_dedupe")
+@register("stream_dedupe", """
+WITH RECURSIVE kept AS (
+  SELECT user_id, min(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY 1
+  UNION ALL
+  SELECT k.user_id, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts > k.ts + INTERVAL 1800 SECOND GROUP BY 1)
+SELECT user_id, ts FROM kept""")
 def stream_dedupe(spark, sf):
     events = read_table(spark, sf, "events")
-    src = M.stage_source(events, "events-dedupe", order_by="ts")
+    src = M.stage_source(events, "events-dedupe")
     out, ck = scratch_path(spark, "m3-out"), scratch_path(spark, "m3-ck")
-    M.run(M.dedupe_within_ttl(M.file_stream(spark, src, events.schema), "user_id", "ts", "30 minutes", out, ck))
-    return spark.read.parquet(out)
+    M.run(M.dedupe_within_ttl(M.file_stream(spark, src, events.schema), "user_id", "ts", 1800, out, ck))
+    return spark.read.parquet(out).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @register("stream_append", """

@@ -83,17 +83,19 @@ SEARCH = "german|^1[0-9]$"
 SELECT {_PAGE_COLS}, (SELECT count(*) FROM scored WHERE
    regexp_matches(lower(CAST(Geography AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(Segment AS VARCHAR)), '{SEARCH}')
    OR regexp_matches(lower(CAST(Age AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(NumOfProducts AS VARCHAR)), '{SEARCH}')
+   OR regexp_matches(lower(CAST(Balance AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(EstimatedSalary AS VARCHAR)), '{SEARCH}')
    OR regexp_matches(lower(CAST(CustomerId AS VARCHAR)), '{SEARCH}')) AS total
 FROM scored WHERE
    regexp_matches(lower(CAST(Geography AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(Segment AS VARCHAR)), '{SEARCH}')
    OR regexp_matches(lower(CAST(Age AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(NumOfProducts AS VARCHAR)), '{SEARCH}')
+   OR regexp_matches(lower(CAST(Balance AS VARCHAR)), '{SEARCH}') OR regexp_matches(lower(CAST(EstimatedSalary AS VARCHAR)), '{SEARCH}')
    OR regexp_matches(lower(CAST(CustomerId AS VARCHAR)), '{SEARCH}')
 ORDER BY risk_score DESC, CustomerId LIMIT 100""")
 def clients_search(spark, sf):
     s = fixtures.scored(spark, sf)
     ids, cols = _display(s, 6)
-    # Search over the shown columns (text and integer ones) and the id column.
-    searchable = [c for c in cols if dict(s.dtypes)[c] != "double"] + [ids[0]]
+    # Search over all shown columns and the id column.
+    searchable = [*cols, ids[0]]
     f = views.search(s, SEARCH, searchable)
     return views.page(f.select(ids[0], "risk_score", *cols), offset=0, limit=100, id_col=ids[0])
 

@@ -55,7 +55,6 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators expect to an existing session."""
     for k, v in SESSION_DEFAULTS.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -67,8 +66,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # Local runs only (tests, bench): nothing is configured, so take a fresh
-    # scratch folder. On a cluster spark.checkpoint.dir names shared storage.
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    # Local runs only (tests, bench): driver and executors are one process, so a fresh scratch folder is shared.
     local = tempfile.mkdtemp(prefix="attrix-ckpt-")
     sc.setCheckpointDir(local)
     return local

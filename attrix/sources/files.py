@@ -65,12 +65,16 @@ def fix_cp1252(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             infer: bool = True) -> DataFrame:
-    """A1 + A4-A6: header row, inferred types, sniffed separator and encoding."""
+             infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """A1 + A4-A6: header row, inferred types, sniffed separator and encoding.
+
+    Quoted fields may hold line breaks, so a file is read by one task; ``multi_line=False`` lets Spark split files
+    that are known to have a record per line.
+    """
     enc = encoding or detect_encoding(spark, path)
     sep = sep or sniff_separator(spark, path, enc)
     df = (spark.read.option("header", True).option("inferSchema", infer).option("sep", sep)
-          .option("encoding", enc).option("multiLine", False).csv(path))
+          .option("encoding", enc).option("multiLine", multi_line).csv(path))
     df = clean_headers(df)
     if enc.upper() in ("ISO-8859-1", "LATIN1"):
         df = fix_cp1252(df)

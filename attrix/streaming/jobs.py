@@ -24,35 +24,20 @@ from ..operators.score import risk_score
 from ..sources.files import scratch_path
 
 
-def _run(q: StreamingQuery, timeout_s: int = 600) -> None:
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+def run(q: StreamingQuery, limit_s: float | None = None) -> None:
+    """Wait until the query has read all its input; beyond a limit the query is stopped and the call fails."""
+    ended = q.awaitTermination(limit_s) if limit_s is not None else q.awaitTermination() is None
+    if not ended:
         q.stop()
+        raise TimeoutError(f"the stream has not ended within {limit_s} s; its output is incomplete")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
-def stage_source(df: DataFrame, name: str, files: int = 8, order_by: str | None = None) -> str:
-    """Copy a batch table to a file folder that a stream can read (in ``files`` files).
-
-    With ``order_by`` the files are range-partitioned on that column and their
-    modification times follow the range order, so the file source replays them in
-    event-time order (as files landing over time would arrive)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"src-{name}")
-    if order_by is None:
-        df.repartition(files).write.parquet(path)
-        return path
-    df.repartitionByRange(files, order_by).sortWithinPartitions(order_by).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    parts = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("part-")),
-                   key=lambda p: p.getName())
-    base = 1_700_000_000_000
-    for i, p in enumerate(parts):       # one metadata call per staged file
-        fs.setTimes(p, base + i * 1000, -1)
+def stage_source(df: DataFrame, name: str) -> str:
+    """Copy a batch table to a file folder that a stream can read, in the partitions that the table has."""
+    path = scratch_path(df.sparkSession, f"src-{name}")
+    df.write.parquet(path)
     return path
 
 
@@ -65,8 +50,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 2) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream over a folder; without ``files_per_trigger`` one micro-batch takes all files there are."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -110,10 +97,40 @@ def windowed_counts(stream: DataFrame, ts: str, keys: list[str], window: str, wa
             .foreachBatch(_upsert_sink(out, ["window_start"])).trigger(availableNow=True).start())
 
 
-def dedupe_within_ttl(stream: DataFrame, key: str, ts: str, ttl: str, out: str, checkpoint: str) -> StreamingQuery:
-    """M3: emit a key at most once while an earlier copy is within ``ttl`` (state bounded by
-    the watermark: ``dropDuplicatesWithinWatermark``)."""
-    d = event_time(stream, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def dedupe_within_ttl(stream: DataFrame, key: str, ts: str, ttl_seconds: int, out: str, checkpoint: str) -> StreamingQuery:
+    """M3: emit an event unless its key was emitted at most ``ttl_seconds`` earlier; (key, ts) rows.
+
+    Keyed state holds the time of the last emission, an event-time timer drops it when it is too old to matter. Events of a
+    micro-batch are taken in time order, so the result does not depend on the size of the batches as long as files
+    arrive in time order within the watermark.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    step = ttl_seconds * 1_000_000
+
+    def emit(k, frames, state):
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        import pandas as pd
+        out = []
+        for t in sorted(pd.concat([f[["us"]] for f in frames])["us"].tolist()):
+            if last is None or t - last > step:
+                out.append(t)
+                last = t
+        state.update((last,))
+        expires = (last + step) // 1000 + 1
+        if expires > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(expires)
+        else:
+            state.remove()
+        yield pd.DataFrame({key: [k[0]] * len(out), "us": out})
+
+    kind = stream.schema[key].dataType.simpleString()
+    d = (event_time(stream, ts).where(F.col(key).isNotNull()).withWatermark(ts, f"{ttl_seconds} seconds").select(key, ts, F.unix_micros(ts).alias("us")).groupBy(key)
+         .applyInPandasWithState(emit, f"{key} {kind}, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+         .select(key, F.timestamp_micros("us").alias(ts)))
     return (d.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
@@ -131,7 +148,3 @@ def idempotent_append(stream: DataFrame, key: str, target: str, checkpoint: str)
         fresh.write.mode("append").parquet(target)
     return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
             .trigger(availableNow=True).start())
-
-
-def run(q: StreamingQuery, timeout_s: int = 600) -> None:
-    _run(q, timeout_s)

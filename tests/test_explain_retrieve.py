@@ -39,9 +39,9 @@ def test_top_k_rejects_zero(spark):
         X.top_k(c, "id", 0)
 
 
-def test_feature_label():
-    assert X.feature_label("num__NumOfProducts") == "Num Of Products"
-    assert X.feature_label("﻿is_active_member") == "Is active member"
+def test_feature_label(spark):
+    df = spark.createDataFrame([("num__NumOfProducts",), ("\ufeffis_active_member",)], "n string")
+    assert [r[0] for r in df.select(X.label_expr(F.col("n"))).collect()] == ["Num Of Products", "Is active member"]
 
 
 def test_chunking_headings_and_long_sections(spark):
@@ -122,15 +122,17 @@ def test_adaboost_beats_chance(spark):
 
 def test_knn_is_exact_against_brute_force(spark):
     import random
-    from attrix.operators.neighbors import brute_force_knn, knn
+    import math
+    from attrix.operators.neighbors import knn
     rnd = random.Random(7)
     pts = [(i, (round(rnd.gauss(0, 1), 3), round(rnd.gauss(0, 3), 3), float(rnd.randint(0, 2)))) for i in range(300)]
     pts += [(300 + i, (0.0, 0.0, 1.0)) for i in range(40)]           # a hot duplicated vector
     df = spark.createDataFrame([(i, *v) for i, v in pts], "id long, a double, b double, c double")
-    qs = pts[::17]
+    # Also queries off the points, whose neighbourhood holds no reference point at first.
+    qs = pts[::17] + [(900, (3.0, -9.0, 2.0)), (901, (-40.0, 55.0, 0.0)), (902, (0.5, 30.0, 9.0))]
     qdf = spark.createDataFrame([(i, *v) for i, v in qs], "id long, a double, b double, c double")
     out = knn(qdf, df, ["a", "b", "c"], 7, "id", "id", target_per_cell=8).collect()
-    brute = brute_force_knn(pts, qs, 7)
+    brute = {i: sorted(math.dist(v, w) for _, w in pts)[:7] for i, v in qs}
     for r in out:
         ds = []
         for n in r["neighbours"]:
