@@ -63,7 +63,7 @@ def fit_rules(sample: DataFrame, names: list[str] = INPUTS) -> tuple[float, list
     flags = sample.select("label", *[rule_column(r, names).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     flags = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="rules").transform(flags).select("label", "rules").persist()
     try:
-        lasso = LogisticRegression(featuresCol="rules", labelCol="label", regParam=LASSO, elasticNetParam=1.0, standardization=False, maxIter=100).fit(flags)
+        lasso = LogisticRegression(featuresCol="rules", labelCol="label", regParam=LASSO, elasticNetParam=1.0, standardization=False, maxIter=50).fit(flags)
     finally:
         flags.unpersist()
     weights = lasso.coefficients.toArray()
