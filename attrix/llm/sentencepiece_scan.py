@@ -57,6 +57,7 @@ class Pieces:
         self.ids = {names[i]: i for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.score = {p: m.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.small = "<u2" if size <= 1 << 16 else "<u4"  # ids on their way to be joined
         self.unknown = m.unk_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids) or m.decode(m.encode("a  b")) != "a  b":
             raise ValueError("the model joins words or changes spaces")
@@ -296,7 +297,7 @@ def _backtrace(model_file: str):
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_file)
         for batch in batches:
-            ids = [np.array(Chunk(pieces, text, lo, hi, k == 0, last).ids(a, e), "<u4").tobytes()
+            ids = [np.array(Chunk(pieces, text, lo, hi, k == 0, last).ids(a, e), pieces.small).tobytes()
                    for k, lo, hi, last, text, a, e in zip(*(batch.column(c).to_pylist() for c in ("k", "lo", "hi", "last", "chunk", "enter", "leave")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("k"), pa.array(ids, pa.binary())], ["doc_id", "uid", "k", "part"])
     return backtrace
@@ -306,7 +307,7 @@ def _joined(model_file: str, with_ids: bool):
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_file)
         for batch in batches:
-            whole = [b"".join(p["part"] for p in parts) for parts in batch.column("parts").to_pylist()]
+            whole = [np.frombuffer(b"".join(p["part"] for p in parts), pieces.small).astype("<u4").tobytes() for parts in batch.column("parts").to_pylist()]
             n, crc, sha = zip(*(_summary(x, pieces) for x in whole)) if whole else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), *([pa.array([np.frombuffer(x, "<i4") for x in whole], pa.list_(pa.int32()))] if with_ids else [])],
                                              ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "ids"][: 4 + with_ids])
@@ -322,7 +323,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     parts = max(4 * shuffle_partitions(docs.sparkSession), 1)
     chunks = table.where("uid is not null").select("doc_id", "uid", "k", "lo", "hi", "last", "chunk").repartition(parts, "uid", "k")
     matrices = chunks.drop("doc_id").mapInArrow(_transfer(model_file), "uid string, k int, rows int, columns int, i array<int>, j array<int>, w array<double>")
-    ways = matrices.groupBy("uid").applyInArrow(_combine, "uid string, k int, enter int, leave int")
+    ways = stored(matrices.groupBy("uid").applyInArrow(_combine, "uid string, k int, enter int, leave int"), "ways")
     traced = (chunks.join(ways, ["uid", "k"]).select("doc_id", "uid", "k", "lo", "hi", "last", "chunk", "enter", "leave")
               .mapInArrow(_backtrace(model_file), "doc_id long, uid string, k int, part binary"))
     whole = traced.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts")).select("doc_id", "parts")
