@@ -133,12 +133,15 @@ def imbalance(df: DataFrame, target: str, threshold: float = IMBALANCE_THRESHOLD
 
 
 def encode_target(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
-    """Numeric target -> int; text target -> index in sorted class list."""
-    dt = dict(df.dtypes)[target]
-    if dt in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean") or dt.startswith("decimal"):
-        classes = sorted(str(r[0]) for r in df.select(F.col(target).cast("int")).distinct().collect() if r[0] is not None)
-        return df.withColumn("label", F.col(target).cast("int")), classes
-    from pyspark.ml.feature import StringIndexer
-    model = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc",
-                          handleInvalid="skip").fit(df)
-    return model.transform(df).withColumn("label", F.col("label").cast("int")), list(model.labels)
+    """Adds ``label``, the index of the target's value among its two sorted values (numbers, booleans or text).
+
+    Any other number of classes is refused before anything is collected (Q14, D20).
+    """
+    value = F.col(target) if dict(df.dtypes)[target] != "boolean" else F.col(target).cast("int")
+    seen = df.where(value.isNotNull()).select(value.alias("v")).distinct().orderBy("v").limit(3).collect()
+    if not seen:
+        raise ValueError(f"no row has a value of {target}")
+    if len(seen) != 2:
+        raise ValueError(f"{target} must have two classes; it has {'one' if len(seen) == 1 else 'more'}")
+    low, high = seen[0]["v"], seen[1]["v"]
+    return df.withColumn("label", F.when(value == F.lit(high), 1).when(value == F.lit(low), 0)), [str(low), str(high)]

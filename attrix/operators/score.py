@@ -80,11 +80,11 @@ def score_by_tenant(df: DataFrame, tenant_col: str, models: DataFrame, base_logi
     """Score each row with its tenant's active model.
 
     ``models`` holds one row per tenant (``tenant``, ``intercept_shift``): the registry
-    of per-tenant calibrations, bounded by the number of tenants, so it is
-    broadcast; every row is scored in the same single pass.
+    of per-tenant calibrations. It grows with the tenants, so AQE broadcasts it only
+    when it measured small; every row is scored in the same single pass.
     """
     m = models.withColumnRenamed("tenant", tenant_col)
-    x = df.join(F.broadcast(m), tenant_col, "left")
+    x = df.join(m, tenant_col, "left")
     z = base_logit + F.coalesce(F.col("intercept_shift"), F.lit(0.0))
     return x.withColumn("p", logistic_probability(z)).withColumn("risk_score", risk_score("p")).drop("intercept_shift")
 

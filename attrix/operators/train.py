@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import evaluate as E
-from .clean import add_features, clean, split_columns
+from .clean import add_features, clean, encode_target, imbalance, split_columns
 
 SEED = 42
 
@@ -103,7 +103,7 @@ def prepare(df: DataFrame, target: str, ids: list[str], leaks: list[str], clip_o
     cleaned = clean(base, [i for i in ids if i not in keep_ids], leaks, target, clip_outliers)
     feats = add_features(cleaned)
     num, cat = split_columns(feats.drop(*keep_ids), target)
-    feats = feats.withColumn("label", F.col(target).cast("double"))
+    feats = encode_target(feats, target)[0].withColumn("label", F.col("label").cast("double"))
     return Prepared(feats, target, num, cat, preprocessor(num, cat))
 
 
@@ -135,7 +135,8 @@ def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks
     """Per model CV on the train split, fit, test metrics; pick and refit the best.
 
     ``balance="smote"`` oversamples the minority class of each training set
-    (never the evaluation rows); ``balance="weight"`` uses class weights instead.
+    (never the evaluation rows); ``balance="weight"`` uses class weights instead;
+    ``balance="auto"`` oversamples when the largest class is 1.5 times the smallest.
     """
     held: list[DataFrame] = []
     try:
@@ -148,6 +149,8 @@ def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks
 def _train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks: list[str], models: dict | None, folds: int,
                       test_pct: int, balance: str | None, held: list[DataFrame]) -> TrainResult:
     spark = df.sparkSession
+    if balance == "auto":   # C17: oversample when the classes are uneven enough
+        balance = "smote" if imbalance(df.where(F.col(target).isNotNull()), target).first()["imbalanced"] else None
     prep = prepare(df, target, ids, leaks, key=key)
     split = E.stratified_split(prep.frame, "label", key, test_pct, SEED)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)

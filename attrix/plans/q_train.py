@@ -142,6 +142,20 @@ def _train_one(spark, sf, name):
     return res.leaderboard
 
 
+@register("trained_scores")
+def trained_scores(spark, sf):
+    """Train on a text target, then score the whole customer table with the fitted model: risk per level."""
+    from pyspark.ml import Pipeline
+
+    from ..functions.scalars import risk_level
+    from ..operators.score import score_with_model
+    df = fixtures.churn(spark, sf).withColumn(TARGET, F.when(F.col(TARGET) == 1, "Oui").otherwise("Non"))
+    prep = T.prepare(df, TARGET, ids=[KEY, "Surname"], leaks=[], key=KEY)
+    model = Pipeline(stages=[*prep.stages, T.catalogue(True, 1000)["Régression logistique"].copy().setMaxIter(50)]).fit(prep.frame)
+    scored = score_with_model(prep.frame, model).withColumn("level", risk_level("risk_score"))
+    return scored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("left_share"))
+
+
 @register("train_logreg")
 def train_logreg(spark, sf):
     return _train_one(spark, sf, "Régression logistique")

@@ -88,3 +88,20 @@ def test_csv_keeps_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('a,b\n1,"x\ny"\n2,z\n', encoding="utf-8")
     assert sorted((r["a"], r["b"]) for r in read_csv(spark, str(path)).collect()) == [(1, "x\ny"), (2, "z")]
+
+
+def test_text_targets_and_bad_targets(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+
+    from attrix.operators.clean import encode_target
+    df = spark.createDataFrame([("Yes", 1), ("No", 2), (None, 3), ("Yes", 1)], "t string, n int")
+    out, classes = encode_target(df, "t")
+    assert classes == ["No", "Yes"] and [r["label"] for r in out.collect()] == [1, 0, None, 1]
+    for bad in (df.limit(0), df.where("t = 'Yes'")):
+        with pytest.raises(ValueError):
+            encode_target(bad, "t")
+    with pytest.raises(ValueError, match="more"):
+        encode_target(df, "n")
+    levels = {r["level"]: r["left_share"] for r in entry.queries()["trained_scores"](spark, SF_SMALL).collect()}
+    assert levels.get("eleve", 1.0) > levels.get("faible", 0.0)
