@@ -15,9 +15,11 @@ one deletion apart: a signature of the subset and one of each one-deletion neigh
 
 Copies are one node of the join. Signatures that two different sets have give candidates: the least node of each
 signature is compared with the others (a star, not all pairs), pairs are verified on the whole sets, and components are
-built. Signatures whose nodes then lie in different components are taken up again: small groups compare their nodes
-across components, large groups take further pivots, until every such pair has been verified. So no link between
-different texts is lost for the components, and copies or near copies in thousands need no quadratic output.
+built. Signatures whose nodes then lie in different components are taken up again, in tiles of bounded size: a task
+compares the parity bitmaps of all nodes of different components and emits a spanning forest of the pairs that may
+link, and all that are close to the threshold; these are verified. Where components still differ afterwards, every pair
+that may link is verified. So no link between different texts is lost for the components, and copies or near
+copies in thousands need no quadratic output.
 
 Edge cases: a document with fewer words than a shingle has one shingle, its whole sequence; one without words (or with
 a null text) has the empty set and links with nothing; a null id links with nothing and has a null component; repeated
@@ -45,9 +47,10 @@ BAND_RATIO = 1.6
 VERIFY_COST, COMMON_SHARE = 20.0, 0.05
 #: Bands that the documents are taken to spread over, for the same purpose.
 BANDS_IN_USE = 12
-#: Nodes per signature that are compared across components at once; larger groups go by pivots.
-SMALL_GROUP = 16
-PIVOTS = 128
+#: Nodes of a signature that are compared with each other in one task.
+TILE = 1024
+#: Slack of a bitmap's bound, per shingle of both sets, below which a pair is verified in any case.
+CLOSE = 1.0
 #: Partners of one node that are verified together, and bytes of sets per verifying group.
 PARTNERS, GROUP_BYTES = 256, 4 << 20
 #: Ids that a semi-join broadcasts at most (8 bytes each); beyond it the text is shuffled.
@@ -174,7 +177,7 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 
     Two bitmaps differ in at most as many bits as the sets differ in shingles, also when a larger one is folded.
     """
-    bits = 64 << max(0, (len(shingles) - 1) // 16).bit_length()
+    bits = 64 << max(0, (len(shingles) - 1) // 8).bit_length()
     odd = np.bincount((scrambled(shingles ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -249,6 +252,69 @@ def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str)
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_compare(test, result), "a long, b long")
 
 
+def _tile_pairs(percent: int, everything: bool):
+    """(a, b): keys of nodes of one signature and different components whose bitmaps leave a link possible.
+
+    Unless ``everything`` is wanted, a spanning forest of them, the likeliest first, and all that are close to the bound.
+    """
+    def near(mine: np.ndarray, other: np.ndarray, words: np.ndarray, sizes: np.ndarray, part: np.ndarray, same: bool) -> list[tuple[float, int, int]]:
+        found = []
+        for k, i in enumerate(mine.tolist()):
+            js = other[k + 1 :] if same else other
+            js = js[part[js] != part[i]]
+            if not len(js):
+                continue
+            both = sizes[js] + sizes[i]
+            # Slack of the bound on differing shingles; sizes that differ too much have none.
+            slack = (100 - percent) * both - np.bitwise_count(words[js] ^ words[i]).sum(axis=1, dtype=np.int64) * (100 + percent)
+            slack = np.where(100 * np.minimum(sizes[js], sizes[i]) < percent * np.maximum(sizes[js], sizes[i]), -1, slack)
+            found += [(float(s) / float(b), i, j) for s, b, j in zip(slack[slack >= 0], both[slack >= 0], js[slack >= 0].tolist())]
+        return found
+
+    def tile_pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("signature", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        signature, i, j, tile, key, part = (table[c].to_numpy() for c in ("signature", "i", "j", "tile", "key", "part"))
+        bits = table["bits"].to_pylist()
+        cut = np.flatnonzero(np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        pairs = set()
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+            if len(np.unique(part[lo:hi])) < 2:
+                continue
+            raw = [np.frombuffer(x, np.uint64, offset=8) for x in bits[lo:hi]]
+            width = min(map(len, raw))
+            words = np.stack([x if len(x) == width else folded(x, width) for x in raw])
+            sizes = np.array([int.from_bytes(x[:8], "little") for x in bits[lo:hi]])
+            here, t, parts = key[lo:hi], tile[lo:hi], part[lo:hi]
+            mine = np.flatnonzero(t == i[lo])
+            found = near(mine, mine if i[lo] == j[lo] else np.flatnonzero(t == j[lo]), words, sizes, parts, i[lo] == j[lo])
+            root = {p: p for p in parts.tolist()}
+
+            def top(x: int, root: dict = root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for slack, x, y in sorted(found, reverse=True):
+                p, q = top(int(parts[x])), top(int(parts[y]))
+                if everything or p != q or slack < CLOSE:
+                    pairs.add((int(min(here[x], here[y])), int(max(here[x], here[y]))))
+                    root[p] = q
+        return pa.table([pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
+    return tile_pairs
+
+
+def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """(a, b): key pairs to verify among the nodes (signature, key, part, n) of signatures with several components."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = groups.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("signature", "key", "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    size = groups.join(sets, "key").agg(F.sum(F.octet_length("bits")).alias("n")).first()["n"] or 0
+    shards = max(4 * shuffle_partitions(groups.sparkSession), -(-size // GROUP_BYTES))
+    return (dealt.join(sets.select("key", "bits"), "key").withColumn("g", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(shards)).cast("int"))
+            .groupBy("g").applyInArrow(_tile_pairs(percent, everything), "a long, b long").distinct())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): node pairs of the key pairs (a, b) whose sets are similar enough; bitmaps spare most of the whole sets."""
     pairs = stored(pairs.distinct(), "pairs")
@@ -283,23 +349,18 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links = stored(verified(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), sets, percent), "links")
     parts = stored(connected_components(links), "components")
-    groups, turn = groups.where("key != pivot").select("signature", "key"), 0
-    while True:
-        where = nodes.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    groups = groups.where("key != pivot").select("signature", "key")
+    for everything in (False, True):
+        where = nodes.join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("part"))
         there = groups.join(where, "key")
-        open_ = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("signature", "n")
-        groups = stored(there.join(open_, "signature"), "signatures")
+        apart = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("signature", "n")
+        groups = stored(there.join(apart, "signature"), "apart")
         if groups.isEmpty():
             break
-        turn += 1
-        few, many = groups.where(F.col("n") <= SMALL_GROUP), groups.where(F.col("n") > SMALL_GROUP)
-        lead = F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("n") / PIVOTS)) == 0
-        heads = few.unionByName(many.where(lead)).select("signature", F.col("key").alias("a"), F.col("part").alias("pa"))
-        fresh = (groups.withColumnRenamed("key", "b").join(heads, "signature").where("a != b and part != pa and (n > %d or a < b)" % SMALL_GROUP)
-                 .select("a", "b"))
-        links = stored(links.unionByName(verified(fresh, sets, percent)), "links")
+        likely = stored(possible_pairs(groups, sets, percent, everything), "likely")
+        links = stored(links.unionByName(compared(likely, sets, "shingles", _do_link(percent), "node")), "links")
         parts = stored(connected_components(links), "components")
-        groups = many.where(~lead).select("signature", "key")
+        groups = groups.select("signature", "key")
     chosen = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (table.join(chosen, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

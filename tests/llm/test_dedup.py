@@ -86,10 +86,9 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("small, pivots", [(join.SMALL_GROUP, join.PIVOTS), (2, 2)])
-def test_no_link_is_lost_in_crowded_groups(spark, monkeypatch, small, pivots):
-    monkeypatch.setattr(join, "SMALL_GROUP", small)
-    monkeypatch.setattr(join, "PIVOTS", pivots)
+@pytest.mark.parametrize("tile", [join.TILE, 3])
+def test_no_link_is_lost_in_crowded_groups(spark, monkeypatch, tile):
+    monkeypatch.setattr(join, "TILE", tile)
     data = near_copies(25, 11)
     got = join.shingle_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert ordered(got) == ordered(cases.plain_components(data))
