@@ -25,7 +25,7 @@ The columns of a shard (a few MB by construction) are held in memory; the tables
 files on shared storage.
 
 Edge cases: a null text is empty; a text under ``WINDOW`` bytes is kept whole; rows equal in id and text count as one
-document; a text with a null id is kept whole and matches nothing; an empty table gives an empty result; other columns
+document (an id is taken to name one text); a text with a null id is kept whole and matches nothing; an empty table gives an empty result; other columns
 are ignored.
 """
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from attrix.llm import oracles
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
 from attrix.llm.embedding_dedup import embedding_dedup
 from attrix.llm.packing import pack
@@ -20,7 +21,8 @@ from attrix.llm.toxicity_grammar import toxicity_grammar
 from attrix.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+#: The other queries fit models, tokenise, or compare all byte strings, which takes SQL minutes on the smallest tables.
+ORACLE: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op6_shingle_join": oracles.SHINGLE_JOIN}
 
 
 def _query(fn):

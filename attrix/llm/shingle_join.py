@@ -23,7 +23,7 @@ copies in thousands need no quadratic output.
 
 Edge cases: a document with fewer words than a shingle has one shingle, its whole sequence; one without words (or with
 a null text) has the empty set and links with nothing; a null id links with nothing and has a null component; repeated
-rows get one result row each; an empty table gives an empty result; other columns are ignored.
+rows get one result row each (an id is taken to name one text); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

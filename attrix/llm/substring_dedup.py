@@ -17,7 +17,7 @@ Exact copies of a text follow from its first copy: they are removed whole and no
 
 Edge cases: a null text has no words; a text of fewer than ``WINDOW`` words keeps all its words; a null id has no
 order, so its text is kept whole and matches nothing; repeated rows of one id give one result row each and
-never remove each other; an empty table gives an empty result; other columns are ignored.
+never remove each other (an id is taken to name one text); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
