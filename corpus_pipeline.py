@@ -29,8 +29,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of every group of near copies; rows without an id stay."""
-    others = stored(shingle_join(docs).where("doc_id != component_id").select("doc_id").distinct(), "duplicates")
+    """One document, the one of least id, of every group of near copies; rows without an id stay.
+
+    Near copies share 80 percent of their five-word shingles.
+    """
+    others = stored(shingle_join(docs, words=5, percent=80).where("doc_id != component_id").select("doc_id").distinct(), "duplicates")
     return matching_ids(docs, others, "left_anti")
 
 
