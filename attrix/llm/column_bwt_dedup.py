@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import BYTE, Rolling, block_of, copies, shuffle_partitions, sliding_min, stored, with_blocks
+from attrix.llm.common import BYTE, Rolling, block_of, copies, release, shuffle_partitions, sliding_min, stored, with_blocks
 
 WINDOW = 200
 PHRASE = 32
@@ -256,6 +256,8 @@ def column_bwt_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
              .select("doc_id", "runs", F.explode("starts").alias("start"))
              .select("doc_id", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 1, 2), i -> struct(runs[i] as lo, runs[i + 1] as hi))")).alias("r"))
              .select("doc_id", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + window).alias("hi")))
+    spans = stored(spans, "spans")
+    release(pieces, repeated)
     gone = spans.withColumn("block", block_of(blocks)).unionByName(same.select("doc_id", "block"), allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return docs.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_cut(window, with_text), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import release, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                    .where("a > b").distinct(), "edges")
     state = None
     while True:
+        before = edges
         # Large star: each neighbour above a node moves to the least neighbour of that node (or the node itself).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -28,6 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a > b").distinct(), "edges")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, distinct, scrambled, shuffle_partitions, stored, words_of
+from attrix.llm.common import Rolling, distinct, release, scrambled, shuffle_partitions, stored, words_of
 from attrix.llm.components import connected_components
 
 WORDS = 4
@@ -319,7 +319,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     """(a, b): node pairs of the key pairs (a, b) whose sets are similar enough; bitmaps spare most of the whole sets."""
     pairs = stored(pairs.distinct(), "pairs")
     likely = stored(compared(pairs, sets, "bits", _may_link(percent), "key"), "likely")
-    return compared(likely, sets, "shingles", _do_link(percent), "node")
+    links = stored(compared(likely, sets, "shingles", _do_link(percent), "node"), "links")
+    release(pairs, likely)
+    return links
 
 
 def matching_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -335,19 +337,20 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_shingles, component_id): one row per input row; components of the links of ``percent`` or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scanned = stored(docs.mapInArrow(_scan(percent, docs.count(), words), "doc_id long, n_shingles long, digest binary, key long, signature long, whole boolean"), "sets")
-    table = scanned.where("signature is null").select("doc_id", "n_shingles", "digest", "key")
+    table = stored(scanned.where("signature is null").select("doc_id", "n_shingles", "digest", "key"), "documents")
     signatures = scanned.where("signature is not null").select("signature", "key", "whole")
     classes = stored(table.where("doc_id is not null and n_shingles > 0").groupBy("digest", "key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     shared = stored(signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
                     .where("pivot < last and whole").select("signature", "pivot"), "shared")
-    groups = stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures")
+    groups = hits = stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures")
+    release(scanned, shared)
 
     keys = groups.select("key").distinct()
     nodes = stored(classes.join(keys, "key").select("key", "node"), "nodes")
     sets = stored(matching_ids(docs.where("doc_id is not null"), nodes.select(F.col("node").alias("doc_id")))
                   .dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "node long, key long, shingles binary, bits binary"), "shingles")
 
-    links = stored(verified(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), sets, percent), "links")
+    links = verified(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), sets, percent)
     parts = stored(connected_components(links), "components")
     groups = groups.where("key != pivot").select("signature", "key")
     for everything in (False, True):
@@ -355,12 +358,16 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         there = groups.join(where, "key")
         apart = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("signature", "n")
         groups = stored(there.join(apart, "signature"), "apart")
+        release(hits)
+        hits = groups
         if groups.isEmpty():
             break
         likely = stored(possible_pairs(groups, sets, percent, everything), "likely")
         links = stored(links.unionByName(compared(likely, sets, "shingles", _do_link(percent), "node")), "links")
         parts = stored(connected_components(links), "components")
+        release(likely)
         groups = groups.select("signature", "key")
+    release(sets, hits)
     chosen = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (table.join(chosen, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, block_of, copies, covered, distinct, row_schema, sliding_min, stored, with_blocks, words_of
+from attrix.llm.common import Rolling, block_of, copies, covered, distinct, release, row_schema, sliding_min, stored, with_blocks, words_of
 
 WINDOW = 50
 PHRASE = 8
@@ -196,6 +196,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .where("first_id < last_id").drop("last_id"), "origins")
     gone = (windows.join(origin, ["phrase_hash", "window"]).where("doc_id > first_id")
             .select("doc_id", "start", block_of(blocks).alias("block")))
+    gone = stored(gone, "gone")
+    release(runs, origin)
     side = gone.unionByName(later, allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" + row_schema(whole) if with_text else "")
     return whole.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_cut(window, with_text), schema)
