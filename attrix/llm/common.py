@@ -16,6 +16,8 @@ from attrix.session import ensure_checkpoint_dir
 
 #: Text bytes in a block of documents (the unit that meets its own automaton or side table in one task).
 BLOCK_BYTES = 4 << 20
+#: Texts in a batch sent to a Python worker.
+BATCH_ROWS = 500
 #: Blocks per shuffle partition at least, so that hashing blocks to partitions stays even.
 BLOCKS_PER_PARTITION = 4
 #: Spark's setting that frees the shuffle files of a finished execution at once; what it wrote is read from storage.
@@ -70,7 +72,11 @@ def with_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
-    """(doc_id, text[, row]): ``row`` is a struct of all input columns."""
+    """(doc_id, text[, row]): ``row`` is a struct of all input columns.
+
+    Rows with whole texts are large, so the session is set to send them to Python in small batches.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if keep else []))
 
 

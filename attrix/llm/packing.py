@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import documents, stored
 
 SEQUENCE = 2048
 UNIT = 8
@@ -168,7 +168,7 @@ def pattern_table(histogram: dict[int, int], size: int = SEQUENCE, unit: int = U
 def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE,
          unit: int = UNIT, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer_file, size, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most one row per length

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Rolling, distinct, release, scrambled, shuffle_partitions, stored, words_of
+from attrix.llm.common import Rolling, distinct, documents, release, scrambled, shuffle_partitions, stored, words_of
 from attrix.llm.components import connected_components
 
 WORDS = 4
@@ -335,7 +335,7 @@ def matching_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> Dat
 
 def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row; components of the links of ``percent`` or more."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
     scanned = stored(docs.mapInArrow(_scan(percent, docs.count(), words), "doc_id long, n_shingles long, digest binary, key long, signature long, whole boolean"), "sets")
     table = stored(scanned.where("signature is null").select("doc_id", "n_shingles", "digest", "key"), "documents")
     signatures = scanned.where("signature is not null").select("signature", "key", "whole")

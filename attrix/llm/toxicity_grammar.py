@@ -33,7 +33,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import stored
+from attrix.llm.common import documents, stored
 from attrix.llm.rule_ensemble import LABELLED_ROWS, labelled
 
 # Function words of the scopes, in English, French, German and Spanish.
@@ -218,7 +218,7 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
 def toxicity_grammar(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
                      label: str = "toxic", rows: int = LABELLED_ROWS) -> DataFrame:
     """(doc_id, score, predicted): one row per input row. ``train`` is a condition on the labels' doc_id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents(docs, id_col, text_col)
     known = stored(labelled(labels, label, F.lit(True) if train is None else train, rows), "labels")
     sample = stored(docs.join(F.broadcast(known), "doc_id"), "sample")  # at most ``rows`` labels
     stems = learned_stems(sample)
