@@ -43,8 +43,8 @@ from attrix.llm.components import connected_components
 WORDS = 4
 PERCENT = 85
 BAND_RATIO = 1.6
-#: Signatures that one verification costs, and the share of shingles taken to be common, in the cost of an allocation.
-VERIFY_COST, COMMON_SHARE = 20.0, 0.05
+#: Signatures that one verification costs (most end at a bitmap), and the share of shingles taken to be common, in the cost of an allocation.
+VERIFY_COST, COMMON_SHARE = 2.0, 0.05
 #: Bands that the documents are taken to spread over, for the same purpose.
 BANDS_IN_USE = 12
 #: Nodes of a signature that are compared with each other in one task.
