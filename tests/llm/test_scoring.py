@@ -147,6 +147,22 @@ def test_ids_are_those_of_the_tokenizer(data):
         assert packing.encoding(BPE).encode_to_numpy(text, disallowed_special=()).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_found_in_plain_text(spark):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(BPE)
+    rng = random.Random(3)
+    parts = ["a", " ", "  ", "\n", "'s", "é", "1", "!", "<|", "endoftext", "|>", "<|endoftext|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>'t", "<|endoftext|", "<|endoftext|>" * 3000]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, packing.END_ID]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect():
+        assert r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        got.setdefault(r["doc_id"], {})[r["start"]] = r["ids"]
+    assert {i: [t for s in sorted(p) for t in p[s]] for i, p in got.items()} == want
+
+
 def test_packing_places_every_id_once(spark, data):
     rows = packing.pack(cases.table(spark, data), BPE).collect()
     coder = packing.encoding(BPE)
