@@ -4,15 +4,16 @@
 2. *Generators* propose further, overlapping spans with high recall: obfuscated addresses, dotted numbers with spaces,
    long digit groups, telephone numbers without a plus sign.
 3. *Boosted trees* judge candidates by their format (digits, groups, separators) and context (words and characters
-   around). They learn from a bounded sample of candidates: spans that pass the base checks are personal data, spans that
-   fail the check of their kind, or lie in a checked span of another kind, are none. What the checks themselves
-   look at (plus sign, check digit, range of parts) is no feature.
-4. *Calibration*: on the half of the sample not trained on, each kind gets the least threshold whose precision reaches
-   ``PRECISION``; without such a threshold the kind gets no additional spans. Accepted candidates that touch no base span
-   and no better candidate are added.
+   around). They learn from a bounded sample of distinct candidates (copies of one with its context count once): spans that
+   pass the base checks are personal data, spans that fail the check of their kind, or lie in a checked span of another
+   kind, are none. What the checks themselves look at (plus sign, check digit, range of parts) is no feature.
+4. *Calibration*: on all such candidates of the corpus outside the sample, copies included, each kind gets the least
+   threshold whose precision reaches ``PRECISION``; without such a threshold the kind gets no additional spans. Only a
+   histogram of (kind, score bin, label) leaves the tasks. Accepted candidates that touch no base span and no better
+   candidate are added.
 
 Spans are code point offsets, end exclusive. The fitted trees are plain data of bounded size that goes to the tasks;
-texts are read twice (sample, redaction) and never shuffled.
+texts are read three times (sample, calibration, redaction) and never shuffled.
 
 Edge cases: a null text is empty and has no spans; matches that fail their check are dropped without another try; a null
 id is handled like any other; repeated rows get a result each; an empty table gives an empty result; other columns are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 20_000
 PRECISION = 0.98
 ROUNDS, DEPTH = 15, 3
+#: Score bins of the calibration; thresholds are their lower edges, exact as the number is a power of 2.
+BINS = 1 << 12
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -138,46 +142,77 @@ def _touches(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
     return any(span[0] < e and s < span[1] for s, e in others)
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with a weak label: passed its check, failed it, or inside a checked span of another kind."""
-    for batch in batches:
-        rows, labels, keys = [], [], []
-        for text in batch.column("text").to_pylist():
-            if not text:
-                continue
-            good, failed = base_spans(text)
-            every = [(k, s, e, 1.0) for k, spans in enumerate(good) for s, e in spans] + [(k, s, e, 0.0) for k, s, e in failed]
-            every += [(k, s, e, 0.0) for k, s, e in candidates(text, good, ()) if _touches((s, e), [x for j, spans in enumerate(good) if j != k for x in spans])]
-            for k, s, e, y in every:
-                rows.append(features(text, k, s, e))
-                labels.append(y)
-                keys.append(int.from_bytes(hashlib.blake2b(f"{k}:{s}:{text[max(0, s - 40) : e + 20]}".encode(), digest_size=8).digest(), "little", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.float64()), *(pa.array([r[j] for r in rows], pa.float64()) for j in range(len(FEATURES)))], ["key", "label", *FEATURES])
+def labelled(text: str) -> list[tuple[int, int, int, float]]:
+    """(kind, start, end, weak label): passed its check, failed it, or inside a checked span of another kind."""
+    good, failed = base_spans(text)
+    every = [(k, s, e, 1.0) for k, spans in enumerate(good) for s, e in spans] + [(k, s, e, 0.0) for k, s, e in failed]
+    return every + [(k, s, e, 0.0) for k, s, e in candidates(text, good, ()) if _touches((s, e), [x for j, spans in enumerate(good) if j != k for x in spans])]
+
+
+def key_of(text: str, kind: int, start: int, end: int, label: float) -> int:
+    """Hash of all that the features and the label are made of; equal for copies, wherever they stand."""
+    seen = "\0".join((f"{kind}:{label:.0f}", text[max(0, start - 40) : start], text[start:end], text[end : end + 20]))
+    return int.from_bytes(hashlib.blake2b(seen.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sample(rows: int):
+    """The distinct candidates of the least even keys, as many as the whole sample has at most, of every task."""
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[float]] = {}
+        bound = 1 << 63
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for k, s, e, y in labelled(text) if text else ():
+                    key = key_of(text, k, s, e, y)
+                    if key % 2 == 0 and key < bound and key not in kept:
+                        kept[key] = [y, *features(text, k, s, e)]
+                        if len(kept) >= 2 * rows:
+                            kept = {i: kept[i] for i in sorted(kept)[:rows]}
+                            bound = max(kept)
+        columns = list(zip(*kept.values())) or [()] * (1 + len(FEATURES))
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), *(pa.array(c, pa.float64()) for c in columns)], ["key", "label", *FEATURES])
+    return sample
+
+
+def _histogram(trees: list, weights: list[float], last: int | None):
+    """Counts of (kind, score bin, label) of the candidates outside the sample: those of odd keys or beyond the last key."""
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[int, int, int]] = Counter()
+        for batch in batches:
+            rows, kinds, labels = [], [], []
+            for text in batch.column("text").to_pylist():
+                for k, s, e, y in labelled(text) if text else ():
+                    key = key_of(text, k, s, e, y)
+                    if key % 2 or (last is not None and key > last):
+                        rows.append(features(text, k, s, e))
+                        kinds.append(k)
+                        labels.append(int(y))
+            if rows:
+                counts.update(zip(kinds, (probability(trees, weights, np.array(rows)) * BINS).astype(int).tolist(), labels))
+        a = list(zip(*((*c, n) for c, n in counts.items()))) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in a], ["kind", "bin", "label", "n"])
+    return histogram
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> tuple[list, list[float], list[float]]:
     """Trees, their weights, and the threshold per kind (2 where no candidate is to be added)."""
     schema = "key long, label double, " + ", ".join(f"{c} double" for c in FEATURES)
-    sample = stored(docs.mapInArrow(_sample, schema).orderBy("key").limit(rows).coalesce(2), "candidates")
-    train, rest = sample.where("pmod(key, 2) = 0"), sample.where("pmod(key, 2) = 1")
+    train = stored(docs.mapInArrow(_sample(rows), schema).dropDuplicates(["key"]).orderBy("key").limit(rows).coalesce(2), "candidates")
     if train.select("label").distinct().count() < 2:
         return [], [], [2.0] * len(KINDS)
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train)
     model = GBTClassifier(labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(assembled)
     trees, weights = tree_paths(model), [float(w) for w in model.treeWeights]
-    held = rest.select("label", *FEATURES).toPandas()  # at most the sample's rows
+    size = train.agg(F.count("*").alias("n"), F.max("key").alias("last")).first()
+    counted = docs.mapInArrow(_histogram(trees, weights, size["last"] if size["n"] == rows else None), "kind long, bin long, label long, n long")
+    held = counted.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good")).collect()  # a row per kind and bin at most
     thresholds = [2.0] * len(KINDS)
-    if len(held):
-        score = probability(trees, weights, held[FEATURES].to_numpy())
-        for k in range(len(KINDS)):
-            mine = (held["kind"] == k).to_numpy()
-            order = np.argsort(-score[mine], kind="stable")
-            p, y = score[mine][order], held["label"].to_numpy()[mine][order]
-            rate = np.cumsum(y) / np.arange(1, len(y) + 1)
-            last = np.append(p[1:] != p[:-1], True) if len(p) else np.zeros(0, bool)
-            fine = np.flatnonzero((rate >= precision) & last)
-            if len(fine):
-                thresholds[k] = max(0.5, float(p[fine[-1]]))
+    for k in range(len(KINDS)):
+        n = good = 0
+        for row in sorted((r for r in held if r["kind"] == k), key=lambda r: -r["bin"]):
+            n, good = n + row["n"], good + row["good"]
+            if good / n >= precision:
+                thresholds[k] = max(0.5, row["bin"] / BINS)
     return trees, weights, thresholds
 
 

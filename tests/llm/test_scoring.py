@@ -137,6 +137,27 @@ def test_pii_cases(spark, data):
         assert r["redacted"] == text if not r["spans"] else "[EMAIL]" in r["redacted"] and "@" not in r["redacted"]
 
 
+def test_pii_thresholds_rest_on_all_candidates_outside_distinct_ones(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    single = [f"{rng.choice(['ip', 'at', 'v'])} {rng.randint(1, 400)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.1 tel +{digits(rng.randint(6, 12))} card {digits(16)}, u{digits(3)}@x.org" for _ in range(400)]
+    copied = [f"call {digits(5)} host {i}.1.2.3 now" for i in range(12)] * 200
+    docs = spark.createDataFrame([(t,) for t in single + copied], "text string").repartition(5)
+    rows = 100
+    trees, weights, thresholds = pii_boost.fit(docs, rows)
+    found = [(pii_boost.key_of(t, *c), t, c) for t in single + copied for c in pii_boost.labelled(t)]
+    trained = set(sorted({key for key, _, _ in found if key % 2 == 0})[:rows])
+    assert len(trained) == rows and len(found) > 3000
+    held = [(t, c) for key, t, c in found if key not in trained]
+    score = pii_boost.probability(trees, weights, np.array([pii_boost.features(t, *c[:3]) for t, c in held]))
+    want = [2.0] * len(pii_boost.KINDS)
+    for k in range(len(want)):
+        edges = [b / pii_boost.BINS for b in {int(p * pii_boost.BINS) for p, (_, c) in zip(score, held) if c[0] == k}]
+        fine = [x for x in edges if np.mean([c[3] for p, (_, c) in zip(score, held) if c[0] == k and p >= x]) >= pii_boost.PRECISION]
+        want[k] = max(0.5, min(fine)) if fine else 2.0
+    assert thresholds == want and min(want) < 2
+
+
 def test_ids_are_those_of_the_tokenizer(data):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(BPE)
