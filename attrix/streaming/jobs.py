@@ -12,8 +12,14 @@ sink idempotent under micro-batch replay.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import bisect
+import contextlib
+import os
+import sys
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +29,11 @@ from ..operators.registry import append_unseen
 from ..operators.score import risk_score
 from ..sources.files import scratch_path
 
+#: The TTL dedupe: event times of a key sorted at once, read again at once from a sorted run, and emitted at once.
+RUN_ROWS = 1 << 20
+BLOCK_ROWS = 512
+EMITTED_ROWS = 10_000
+
 
 def run(q: StreamingQuery, limit_s: float | None = None) -> None:
     """Wait until the query has read all its input; beyond a limit the query is stopped and the call fails."""
@@ -97,12 +108,73 @@ def windowed_counts(stream: DataFrame, ts: str, keys: list[str], window: str, wa
             .foreachBatch(_upsert_sink(out, ["window_start"])).trigger(availableNow=True).start())
 
 
+class _Run:
+    """Ascending times: a block of them in memory, those after it, up to the place ``end``, in a file."""
+
+    def __init__(self, block: np.ndarray, at: int = 0, end: int = 0, fd: int = -1):
+        self.block, self.at, self.end, self.fd = block, at, end, fd
+
+    def first_after(self, bound: int) -> int | None:
+        """The least time greater than the bound; bounds of later calls are not smaller."""
+        if self.at < self.end and not (len(self.block) and self.block[-1] > bound):
+            rest = range(self.at, self.end)
+            self.at += bisect.bisect_right(rest, bound, key=lambda i: int.from_bytes(os.pread(self.fd, 8, 8 * i), sys.byteorder, signed=True))
+            self.block = np.frombuffer(os.pread(self.fd, 8 * min(BLOCK_ROWS, self.end - self.at), 8 * self.at), "int64")
+            self.at += len(self.block)
+        i = int(np.searchsorted(self.block, bound, "right"))
+        return int(self.block[i]) if i < len(self.block) else None
+
+
+def kept_times(frames: Iterable, last: int | None, step: int, rows: int = RUN_ROWS) -> Iterator[np.ndarray]:
+    """Times ``us`` of the frames, taken in time order, that lie more than ``step`` after the one kept before.
+
+    Frames are read once, in any order: runs of bounded size are sorted, freed of repeats and, unless there is one only,
+    put into one file of the worker's temp folder. The next time kept is the least that a search finds in the runs, so
+    memory has one run and a small block of every other, however many rows the frames have.
+    """
+    with contextlib.ExitStack() as stack:
+        file, ends, block, held = None, [0], [], 0
+
+        def write() -> None:
+            run = np.unique(np.concatenate(block))
+            run.tofile(file)
+            ends.append(ends[-1] + len(run))
+            block.clear()
+
+        for frame in frames:
+            us = frame["us"].dropna().to_numpy("int64")
+            for start in range(0, len(us), rows):
+                if held >= rows:
+                    file = file or stack.enter_context(tempfile.TemporaryFile())
+                    write()
+                    held = 0
+                block.append(us[start : start + rows].copy())
+                held += len(block[-1])
+        if file:
+            write()
+            file.flush()
+            runs = [_Run(np.empty(0, "int64"), lo, hi, file.fileno()) for lo, hi in zip(ends, ends[1:])]
+        else:
+            runs = [_Run(np.unique(np.concatenate(block)))] if block else []
+        kept: list[int] = []
+        while True:
+            bound = -(1 << 63) if last is None else last + step
+            last = min((t for t in (r.first_after(bound) for r in runs) if t is not None), default=None)
+            if kept and (last is None or len(kept) == EMITTED_ROWS):
+                yield np.array(kept, "int64")
+                kept = []
+            if last is None:
+                return
+            kept.append(last)
+
+
 def dedupe_within_ttl(stream: DataFrame, key: str, ts: str, ttl_seconds: int, out: str, checkpoint: str) -> StreamingQuery:
     """M3: emit an event unless its key was emitted at most ``ttl_seconds`` earlier; (key, ts) rows.
 
     Keyed state holds the time of the last emission, an event-time timer drops it when it is too old to matter. Events of a
     micro-batch are taken in time order, so the result does not depend on the size of the batches as long as files
-    arrive in time order within the watermark.
+    arrive in time order within the watermark. A key's events of a micro-batch are read as a stream of frames and sorted
+    outside memory (``kept_times``), so a key may have any number of them.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -114,18 +186,15 @@ def dedupe_within_ttl(stream: DataFrame, key: str, ts: str, ttl_seconds: int, ou
             state.remove()
             return
         import pandas as pd
-        out = []
-        for t in sorted(pd.concat([f[["us"]] for f in frames])["us"].tolist()):
-            if last is None or t - last > step:
-                out.append(t)
-                last = t
+        for kept in kept_times(frames, last, step):
+            last = int(kept[-1])
+            yield pd.DataFrame({key: [k[0]] * len(kept), "us": kept})
         state.update((last,))
         expires = (last + step) // 1000 + 1
         if expires > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expires)
         else:
             state.remove()
-        yield pd.DataFrame({key: [k[0]] * len(out), "us": out})
 
     kind = stream.schema[key].dataType.simpleString()
     d = (event_time(stream, ts).where(F.col(key).isNotNull()).withWatermark(ts, f"{ttl_seconds} seconds").select(key, ts, F.unix_micros(ts).alias("us")).groupBy(key)

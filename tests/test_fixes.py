@@ -53,6 +53,49 @@ def test_ttl_dedupe_does_not_depend_on_batches(spark, tmp_path, files):
     assert got == sorted(want)
 
 
+def test_ttl_dedupe_of_a_hot_key_needs_bounded_memory():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    rng = random.Random(6)
+    for rows in (1, 3, 100):
+        for last in (None, 40):
+            times = [rng.randint(0, 2000) for _ in range(300)]
+            want, seen = [], last
+            for t in sorted(times):
+                if seen is None or t - seen > 7:
+                    want.append(t)
+                    seen = t
+            frames = (pd.DataFrame({"us": times[i : i + 40]}) for i in range(0, 300, 40))
+            assert np.concatenate(list(M.kept_times(frames, last, 7, rows))).tolist() == want
+    n = 2_000_000
+    shuffled = (pd.DataFrame({"us": (np.arange(i, i + 10_000, dtype="int64") * 7_654_321) % n}) for i in range(0, n, 10_000))
+    tracemalloc.start()
+    kept = np.concatenate(list(M.kept_times(shuffled, None, 1800, 100_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept.tolist() == list(range(0, n, 1801)) and peak < 8 << 20
+
+
+def test_ttl_dedupe_of_a_hot_key_in_one_batch(spark, tmp_path):
+    n = M.RUN_ROWS + 400_000
+    df = spark.range(n).select(F.when(F.col("id") % 100_000 == 1, 2).otherwise(1).cast("long").alias("u"), F.timestamp_seconds((F.col("id") * 7_654_321) % n + 1_700_000_000).alias("ts"))
+    src = M.stage_source(df, "hot")
+    M.run(M.dedupe_within_ttl(M.file_stream(spark, src, df.schema), "u", "ts", 1800, str(tmp_path / "o"), str(tmp_path / "c")))
+    got = spark.read.parquet(str(tmp_path / "o")).groupBy("u").agg(F.sort_array(F.collect_list(F.unix_seconds("ts") - 1_700_000_000)).alias("s")).collect()
+    rare = sorted(i * 7_654_321 % n for i in range(1, n, 100_000))
+    for user in got:
+        want, last = [], None
+        for t in rare if user["u"] == 2 else (t for t in range(n) if t not in rare):
+            if last is None or t - last > 1800:
+                want.append(t)
+                last = t
+        assert user["s"] == want
+    assert len(got) == 2
+
+
 def test_knn_refuses_nulls(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, a double")
     with pytest.raises(ValueError):
