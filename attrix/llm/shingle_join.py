@@ -234,15 +234,22 @@ def _compare(test, result: str):
     return compare
 
 
+def groups_for(sent: DataFrame, sets: DataFrame, payload: str) -> int:
+    """Groups of about ``GROUP_BYTES`` for payloads of which each (key, times) row sends so many copies."""
+    sizes = sets.select("key", F.octet_length(payload).alias("bytes"))
+    size = sent.groupBy("key").agg(F.sum("times").alias("times")).join(sizes, "key").agg(F.sum(F.col("times") * F.col("bytes")).alias("n")).first()["n"] or 0
+    return max(4 * shuffle_partitions(sets.sparkSession), -(-size // GROUP_BYTES))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str) -> DataFrame:
     """(a, b): ``result`` of the sets whose key pairs (a, b) pass the test on their payloads.
 
     Pairs are grouped by their first key; a key with very many partners is split, with its payload sent to each part.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    sent = parts.select(F.col("a").alias("key"), F.col("parts").alias("times")).unionAll(pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("times")))
+    groups = groups_for(sent, sets, payload)
     pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    size = sets.agg(F.sum(F.octet_length(payload)).alias("n")).first()["n"] or 0
-    groups = max(4 * shuffle_partitions(pairs.sparkSession), -(-size // GROUP_BYTES))
     group = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int").alias("g")
     # Both sides read one table; aliases tell them apart.
     fresh = [F.col("g").alias("g"), F.col("a").alias("a"), F.col("other" if result == "key" else "node").alias(result), F.col(payload).alias("payload")]
@@ -309,8 +316,7 @@ def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything:
     dealt = groups.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .select("signature", "key", "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
-    size = groups.join(sets, "key").agg(F.sum(F.octet_length("bits")).alias("n")).first()["n"] or 0
-    shards = max(4 * shuffle_partitions(groups.sparkSession), -(-size // GROUP_BYTES))
+    shards = groups_for(groups.select("key", tiles.alias("times")), sets, "bits")
     return (dealt.join(sets.select("key", "bits"), "key").withColumn("g", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(shards)).cast("int"))
             .groupBy("g").applyInArrow(_tile_pairs(percent, everything), "a long, b long").distinct())
 

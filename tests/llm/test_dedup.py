@@ -5,7 +5,9 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -115,6 +117,23 @@ def test_similar_sets_share_a_signature(documents):
             assert np.bitwise_count(join.folded(p, n) ^ join.folded(q, n)).sum() <= len(np.setxor1d(x, y))
 
 
+def test_groups_are_sized_for_the_payloads_sent_to_them(spark, monkeypatch):
+    n, limit = 1000, 100_000
+    for name, value in (("TILE", 20), ("PARTNERS", 10), ("GROUP_BYTES", limit)):
+        monkeypatch.setattr(join, name, value)
+
+    def total(table, column="bits"):
+        return pa.table({"a": [sum(map(len, table.column(column).to_pylist()))], "b": [0]})
+
+    monkeypatch.setattr(join, "_tile_pairs", lambda percent, everything: lambda table: total(table))
+    monkeypatch.setattr(join, "_compare", lambda test, result: lambda left, right: total(pa.concat_tables([left, right]), "payload"))
+    sets = spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("node"), F.repeat(F.lit("x"), 500).cast("binary").alias("bits")).cache()
+    groups = spark.range(n).select(F.lit(1).cast("long").alias("signature"), F.col("id").alias("key"), F.col("id").alias("part"), F.lit(n).cast("long").alias("n"))
+    assert max(r["a"] for r in join.possible_pairs(groups, sets, 80, False).collect()) <= 4 * limit
+    pairs = spark.range(300 * 200).selectExpr("id % 300 as a", "300 + id div 300 as b")
+    assert max(r["a"] for r in join.compared(pairs, sets, "bits", None, "key").collect()) <= 4 * limit
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(500, 400 + i) for i in range(60)] + [(7, 7), (None, 3)]
