@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attrix.llm import oracles
+from attrix.llm import url_filter as urls
 from attrix.llm.column_bwt_dedup import column_bwt_dedup
+from attrix.llm.conversation_repair import repair_report
 from attrix.llm.embedding_dedup import embedding_dedup
+from attrix.llm.importance_resampling import resample
 from attrix.llm.packing import pack
 from attrix.llm.pii_boost import find_pii
 from attrix.llm.quality_votes import quality_votes
@@ -22,7 +25,11 @@ from attrix.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The other queries fit models, tokenise, or compare all byte strings, which takes SQL minutes on the smallest tables.
-ORACLE: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op6_shingle_join": oracles.SHINGLE_JOIN}
+ORACLE: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op6_shingle_join": oracles.SHINGLE_JOIN,
+                          "op11_importance_resampling": oracles.RESAMPLE, "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
+                          "op13_url_filter": oracles.url_filter(urls.STRICT_TERMS, urls.SOFT_TERMS, urls.LIMIT)}
+#: Host and path rules of the URL filter.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def _query(fn):
@@ -80,3 +87,21 @@ def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five percent of all documents drawn toward the benchmark's n-grams."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every conversation, after damage by the hash of its turns."""
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the rules on hosts and paths, else by the weighted vocabulary."""
+    return urls.url_filter(read_table(spark, sf_dir, "pages"), URL_RULES).drop("terms")
