@@ -36,4 +36,4 @@ def load_all() -> None:
 
 
 PLAN_MODULES = ("q_views", "q_profile", "q_clean", "q_drift", "q_rules", "q_recommend",
-                "q_retrieve", "q_train", "q_explain", "q_registry", "q_sources", "q_stream", "q_compose", "q_misc")
+                "q_retrieve", "q_train", "q_explain", "q_attribution", "q_registry", "q_sources", "q_stream", "q_compose", "q_misc")
