@@ -63,6 +63,10 @@ def hashes(data: bytes, max_n: int = 3, size: int = SLICE) -> Iterator[tuple[int
         yield len(words), found
 
 
+def in_buckets(found: list[int], buckets: int) -> np.ndarray:
+    return np.fromiter(found, np.uint32, len(found)) % np.uint32(buckets)
+
+
 def _texts(df: DataFrame, text_col: str, *others: Column) -> DataFrame:
     return df.select(*others, F.col(text_col).cast("binary").alias("text"))
 
@@ -72,10 +76,20 @@ def bucket_counts(df: DataFrame, text_col: str = "text", buckets: int = 10_000,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
+        waiting: list[int] = []
+
+        def reduce() -> None:
+            n = np.bincount(in_buckets(waiting, buckets), minlength=buckets)
+            seen.update({int(b): int(n[b]) for b in np.flatnonzero(n)})
+            waiting.clear()
+
         for batch in batches:
             for text in batch.column("text"):
                 for _, found in hashes(text.as_py() or b"", max_n):
-                    seen.update((np.array(found, np.uint32) % buckets).tolist())
+                    waiting += found
+                    if len(waiting) >= SLICE:
+                        reduce()
+        reduce()
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
 
     return _texts(df, text_col).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -106,7 +120,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col
                 for n, found in hashes(text.as_py() or b"", max_n):
                     words += n
                     features += len(found)
-                    weight += int(gain[np.array(found, np.uint32) % len(gain)].sum())
+                    weight += int(gain[in_buckets(found, len(gain))].sum())
                 out.append((words, features, weight))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_words", "n_features", "weight"])
