@@ -82,7 +82,8 @@ def fitted_score(docs: DataFrame, labels: DataFrame, train: Column | None = None
     """The score of (doc_id, text) rows as a column over their statistics."""
     known = stored(labelled(labels, label, F.lit(True) if train is None else train, rows), "labels")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``rows`` labels
-    return score_column(*fit_rules(stored(with_ratios(with_counts(sample)).coalesce(2), "sample")))
+    # Stored first: coalesced above the join, its two tasks would read all texts.
+    return score_column(*fit_rules(stored(with_ratios(with_counts(sample)), "sample").coalesce(2)))
 
 
 def rule_ensemble(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",

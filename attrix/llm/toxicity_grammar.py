@@ -227,7 +227,8 @@ def toxicity_grammar(docs: DataFrame, labels: DataFrame, train: Column | None =
     prior = ((share["p"] or 0.0) * share["n"] + 1) / (share["n"] + 2)
     if not stems:
         return table.select("doc_id", F.lit(prior).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    fit = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table.join(F.broadcast(known), "doc_id").coalesce(2))
+    # Stored first: coalesced above the join, its two tasks would read the matches of all documents.
+    fit = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(stored(table.join(F.broadcast(known), "doc_id"), "fit").coalesce(2))
     model = LogisticRegression(labelCol="label", regParam=0.001, standardization=False, maxIter=100).fit(fit)
     total = F.lit(float(model.intercept))
     for name, weight in zip(FEATURES, model.coefficients.toArray().tolist()):
