@@ -1,135 +1,42 @@
 """Exact k-nearest neighbours without an all-pairs join (D12 k-NN, C18 SMOTE).
 
-Reference points are first collapsed to distinct vectors with a multiplicity
-(a vector repeated by a third of the rows is one row with a large count). The
-distinct vectors are put on a grid over the ``g`` highest-variance features with
-quantile edges (equal marginal counts per slab). A query looks at the cells
-within Chebyshev ring ``r`` of its own cell (an ``explode`` of the ring offsets
-and an equi-join on the cell key), keeps its k nearest candidates, and is
-*resolved* when the k-th distance is not larger than the distance from the query
-to the boundary of the searched block - no point outside the block can be closer,
-because its grid coordinate alone is farther. Unresolved queries retry with a
-doubled ring; the block eventually covers the grid, so the answer is exact.
-Only queries still unresolved take part in the next round.
+Reference points are first collapsed to distinct vectors with a multiplicity (a vector repeated by a third of the rows is
+one row with a large count); the search itself is in ``boxes``.
 """
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-INF = float("inf")
+from .boxes import nearest
 
 
 def _vec(cols: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def _dist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def _grid(refs: DataFrame, d: int, grid_dims: int, target_per_cell: int):
-    """Grid dimensions (highest variance) and their quantile edges, from one pass each."""
-    stats = refs.agg(F.count(F.lit(1)).alias("n"),
-                     *[F.var_pop(F.col("v")[i]).alias(f"v{i}") for i in range(d)]).first()
-    n = max(int(stats["n"]), 1)
-    order = sorted(range(d), key=lambda i: -(stats[f"v{i}"] or 0.0))
-    dims = order[:max(1, min(grid_dims, d))]
-    bins = max(1, int((n / target_per_cell) ** (1.0 / len(dims))))
-    probs = [j / bins for j in range(1, bins)]
-    edges = {}
-    if probs:
-        row = refs.agg(*[F.percentile_approx(F.col("v")[i], F.array(*[F.lit(p) for p in probs]), 10000)
-                         .alias(f"e{i}") for i in dims]).first()
-        for i in dims:
-            edges[i] = sorted(set(float(x) for x in row[f"e{i}"]))
-    else:
-        edges = {i: [] for i in dims}
-    return dims, edges
-
-
-def _cell(v: Column, dims: list[int], edges: dict) -> list[Column]:
-    out = []
-    for i in dims:
-        e = F.array(*[F.lit(x) for x in edges[i]]) if edges[i] else F.array().cast("array<double>")
-        out.append(F.size(F.filter(e, lambda x: x < v[i])).cast("int"))
-    return out
-
-
-def _cell_key(cell: Column) -> Column:
-    return F.array_join(F.transform(cell, lambda c: c.cast("string")), ",")
-
-
 def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: str, rid: str,
-        label: str | None = None, exclude_self: bool = False, grid_dims: int = 3,
-        target_per_cell: int = 64) -> DataFrame:
+        label: str | None = None, exclude_self: bool = False, target_per_cell: int = 32) -> DataFrame:
     """Exact k nearest reference points of every query.
 
     Returns ``(qid, neighbours)`` where ``neighbours`` is an array of
-    ``struct(dist, v, cnt, lsum)`` sorted by distance, covering at least ``k``
-    points (``cnt`` = multiplicity of that vector, ``lsum`` = sum of its labels).
+    ``struct(dist, rid, v, cnt, lsum)`` sorted by distance, then by ``rid``, covering at least ``k``
+    points (``rid`` = least id of that vector, ``cnt`` = its multiplicity, ``lsum`` = sum of its labels).
     With ``exclude_self`` the query's own id is removed (queries and refs share ids).
+    ``features`` are numeric columns, or one column that holds the whole vector as an array.
     """
-    d = len(features)
     _refuse_nulls(queries, features)
     _refuse_nulls(refs, features)
+    vector = F.col(features[0]) if dict(refs.dtypes)[features[0]].startswith("array") else _vec(features)
     lab = F.col(label).cast("double") if label else F.lit(0.0)
-    r_pts = refs.select(F.col(rid).alias("__rid"), _vec(features).alias("v"), lab.alias("__l"))
     # Distinct vectors with multiplicity: map-side combined, a hot vector is one row.
-    r = r_pts.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"), F.sum("__l").alias("lsum"))
-    dims, edges = _grid(r, d, grid_dims, target_per_cell)
-    r = r.withColumn("cell", _cell_key(F.array(*_cell(F.col("v"), dims, edges))))
-    q = queries.select(F.col(qid).alias("qid"), _vec(features).alias("qv"))
-    q = q.withColumn("qcell", F.array(*_cell(F.col("qv"), dims, edges)))
-    nb = {i: len(edges[i]) + 1 for i in dims}
-    max_ring = max(nb.values())
-    need = k + (1 if exclude_self else 0)
-
-    resolved = None
-    pending = q
-    ring = 1
-    while True:
-        cand_cells = pending.withColumn("cells", F.array())
-        for j in range(len(dims)):   # the block of cells around a query, one dimension after the other
-            lo, hi = F.greatest(F.col("qcell")[j] - ring, F.lit(0)), F.least(F.col("qcell")[j] + ring, F.lit(nb[dims[j]] - 1))
-            cand_cells = cand_cells.withColumn("at", F.explode(F.sequence(lo, hi))).withColumn("cells", F.concat(F.col("cells").cast("array<int>"), F.array("at"))).drop("at")
-        cand_cells = cand_cells.select("qid", "qv", "qcell", _cell_key(F.col("cells")).alias("cell"))
-        pairs = cand_cells.join(r, "cell").select("qid", "qv", "qcell", "v", "cnt", "lsum",
-                                                  _dist(F.col("qv"), F.col("v")).alias("dist"))
-        # k nearest distinct vectors per query (two-stage by salt so a dense query never sorts alone).
-        w_salt = Window.partitionBy("qid", "__s").orderBy("dist", F.xxhash64("v"))
-        pre = (pairs.withColumn("__s", (F.abs(F.xxhash64("v")) % 16).cast("int"))
-               .withColumn("__r", F.row_number().over(w_salt)).where(F.col("__r") <= need))
-        top = (pre.groupBy("qid", "qv", "qcell")
-               .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", F.xxhash64("v").alias("h"), "v", "cnt",
-                                                                   "lsum"))), 1, need).alias("nbrs")))
-        # k-th distance over multiplicities, and the block boundary distance.
-        cum = F.aggregate(F.col("nbrs"), F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("dk")),
-                          lambda acc, x: F.struct((acc["c"] + x["cnt"]).alias("c"),
-                                                  F.when(acc["dk"].isNull() & (acc["c"] + x["cnt"] >= need), x["dist"])
-                                                  .otherwise(acc["dk"]).alias("dk")))
-        bound = _block_gap(F.col("qv"), F.col("qcell"), dims, edges, ring)
-        top = top.withColumn("__dk", cum["dk"]).withColumn("__gap", bound)
-        ok = (F.col("__dk").isNotNull() & (F.col("__dk") <= F.col("__gap"))) | F.lit(ring >= max_ring)
-        # Reliable checkpoint: each round reads only its own result, not the whole lineage.
-        top = cut_lineage(top.withColumn("__ok", ok))
-        done = top.where("__ok").select("qid", "nbrs")
-        resolved = done if resolved is None else resolved.unionByName(done)
-        if ring >= max_ring:
-            break
-        # Also queries whose cells held no reference point, which have no row in ``top``, are tried again.
-        pending = cut_lineage(pending.join(done, "qid", "left_anti"))
-        if pending.isEmpty():
-            break
-        ring = min(ring * 2, max_ring)
-    out = resolved
+    r = refs.select(F.col(rid).alias("rid"), vector.alias("v"), lab.alias("l")).groupBy("v").agg(
+        F.min("rid").alias("rid"), F.count(F.lit(1)).alias("cnt"), F.sum("l").alias("lsum"))
+    q = queries.select(F.col(qid).alias("qid"), vector.alias("qv"))
+    out, _ = nearest(q, r, k + (1 if exclude_self else 0), target_per_cell)
     if exclude_self:
         # Drop one copy of the query's own vector (distance 0) from its list.
-        out = out.join(queries.select(F.col(qid).alias("qid")), "qid")
         out = out.withColumn("nbrs", _drop_self(F.col("nbrs")))
     return out.select(F.col("qid").alias(qid), F.col("nbrs").alias("neighbours"))
 
@@ -137,7 +44,7 @@ def knn(queries: DataFrame, refs: DataFrame, features: list[str], k: int, qid: s
 def _drop_self(nbrs: Column) -> Column:
     first = F.element_at(nbrs, 1)
     reduced = F.when(first["cnt"] > 1, F.concat(
-        F.array(F.struct(first["dist"].alias("dist"), first["h"].alias("h"), first["v"].alias("v"),
+        F.array(F.struct(first["dist"].alias("dist"), first["rid"].alias("rid"), first["v"].alias("v"),
                          (first["cnt"] - 1).alias("cnt"),
                          (first["lsum"] * (first["cnt"] - 1) / first["cnt"]).alias("lsum"))), F.slice(nbrs, 2, 1 << 30))) \
         .otherwise(F.slice(nbrs, 2, 1 << 30))
@@ -152,21 +59,6 @@ def _refuse_nulls(df: DataFrame, features: list[str]) -> None:
         raise ValueError(f"null values in {', '.join(empty)}; impute them first")
 
 
-def _block_gap(qv: Column, qcell: Column, dims: list[int], edges: dict, ring: int) -> Column:
-    """Distance from the query to the boundary of the searched block (inf at the grid border)."""
-    gaps = []
-    for j, i in enumerate(dims):
-        e = edges[i]
-        arr = F.array(*[F.lit(x) for x in e]) if e else F.array().cast("array<double>")
-        c = qcell[j]
-        lo_idx = c - ring            # block starts at cell lo_idx: its lower edge is e[lo_idx - 1]
-        hi_idx = c + ring            # block ends at cell hi_idx: its upper edge is e[hi_idx]
-        lo = F.when(lo_idx <= 0, F.lit(INF)).otherwise(qv[i] - F.try_element_at(arr, lo_idx))
-        hi = F.when(hi_idx >= len(e), F.lit(INF)).otherwise(F.try_element_at(arr, hi_idx + 1) - qv[i])
-        gaps += [lo, hi]
-    return F.least(*gaps) if len(gaps) > 1 else gaps[0]
-
-
 def knn_predict(queries: DataFrame, refs: DataFrame, features: list[str], label: str, k: int, qid: str,
                 rid: str) -> DataFrame:
     """P(class 1) = mean label of the k nearest training points (multiplicities

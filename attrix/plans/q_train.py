@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import train as T
+from ..operators.stats import quantiles
 from ..sources import fixtures
 from .catalog import register
 from .oracle_views import CHURN, SCORED, with_
@@ -176,43 +177,66 @@ def train_naive_bayes(spark, sf):
     return _train_one(spark, sf, "Naive Bayes")
 
 
-_KNN_FEATURES = ["Age", "NumOfProducts", "Tenure", "IsActiveMember", "Balance"]
+NUMERIC = ["Balance", "EstimatedSalary", "Age", "NumOfProducts", "Tenure", "IsActiveMember"]
+CATEGORICAL = ["Geography", "Segment"]
 
 
-def _standardised(spark, sf):
-    """Churn rows with the k-NN features standardised (one aggregate for means/stds)."""
-    c = fixtures.churn(spark, sf)
-    st = c.agg(*[F.avg(f).alias(f"m_{f}") for f in _KNN_FEATURES],
-               *[F.stddev_pop(f).alias(f"s_{f}") for f in _KNN_FEATURES]).first()
-    return c.select(KEY, TARGET, *[((F.col(f) - st[f"m_{f}"]) / (st[f"s_{f}"] or 1.0)).alias(f) for f in _KNN_FEATURES])
-
+def _preprocessed(spark, sf):
+    """(customers, feature columns): all eight features, medians for nulls, standardised numbers, a column per category.
 
-@register("knn_predict")
+    Statistics come from one aggregate and one median; the categories are those of two small dimensions.
+    """
+    c = fixtures.churn(spark, sf)
+    medians = quantiles(c, ["EstimatedSalary"], [0.5])["EstimatedSalary"][0]
+    c = c.withColumn("EstimatedSalary", F.coalesce("EstimatedSalary", F.lit(medians[0] if medians else 0.0)))
+    st = c.agg(*[F.avg(f).alias(f"m_{f}") for f in NUMERIC], *[F.stddev_pop(f).alias(f"s_{f}") for f in NUMERIC],
+               *[F.array_sort(F.collect_set(f)).alias(f"v_{f}") for f in CATEGORICAL]).first()
+    columns = {f: (F.col(f) - st[f"m_{f}"]) / (st[f"s_{f}"] or 1.0) for f in NUMERIC}
+    columns |= {f"{f}_{i}": (F.col(f) == v).cast("double") for f in CATEGORICAL for i, v in enumerate(st[f"v_{f}"])}
+    return c.select(KEY, TARGET, *[e.alias(n) for n, e in columns.items()]), list(columns)
+
+
+_VECTORS_SQL = with_(CHURN) + f""",
+filled AS (SELECT * REPLACE (coalesce(EstimatedSalary, (SELECT quantile_cont(EstimatedSalary, 0.5) FROM churn)) AS EstimatedSalary) FROM churn),
+st AS (SELECT {", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in NUMERIC)} FROM filled),
+x AS (SELECT CustomerId, Exited, {", ".join(f"({f} - m_{f}) / s_{f} AS {f}" for f in NUMERIC)}, Geography, Segment,
+             {_RANK} <= floor((count(*) OVER (PARTITION BY Exited) * 20 + 99) / 100) AS is_test FROM filled, st)"""
+
+
+@register("knn_predict", _VECTORS_SQL + f""",
+refs AS (SELECT {", ".join(NUMERIC + CATEGORICAL)}, min(CustomerId) AS rid, count(*) AS cnt, sum(Exited) AS lsum FROM x WHERE NOT is_test GROUP BY ALL),
+d AS (SELECT q.CustomerId, q.Exited, r.rid, r.cnt, r.lsum, round_even(sqrt({" + ".join(f"(q.{f} - r.{f}) ^ 2" for f in NUMERIC)}
+             + CASE WHEN q.Geography = r.Geography THEN 0 ELSE 2 END + CASE WHEN q.Segment = r.Segment THEN 0 ELSE 2 END) * 1e9, 0) AS dist
+      FROM x q, refs r WHERE q.is_test),
+near AS (SELECT *, sum(cnt) OVER (PARTITION BY CustomerId ORDER BY dist, rid) - cnt AS before FROM d),
+u AS (SELECT *, least(cnt, 15 - before) AS use FROM near WHERE before < 15)
+SELECT CustomerId, Exited, round_even(sum(use * lsum / cnt) / sum(use) * 1e9, 0) / 1e9 AS p FROM u GROUP BY CustomerId, Exited""")
 def knn_predict(spark, sf):
-    """k = 15 nearest training customers (exact) for every test customer."""
+    """k = 15 nearest training customers (exact, all features) for every test customer."""
     from ..operators.neighbors import knn_predict as kp
-    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY)
+    full, features = _preprocessed(spark, sf)
+    s = E.stratified_split(full, TARGET, KEY)
     train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
-    p = kp(test, train, _KNN_FEATURES, TARGET, 15, KEY, KEY)
-    return p.join(test.select(KEY, TARGET), KEY).select(KEY, TARGET, F.rint(F.col("p") * 1e9) / 1e9)
+    p = kp(test, train, features, TARGET, 15, KEY, KEY)
+    return p.join(test.select(KEY, TARGET), KEY).select(KEY, TARGET, (F.rint(F.col("p") * 1e9) / 1e9).alias("p"))
 
 
 @register("smote")
 def smote(spark, sf):
     """Minority customers oversampled to parity on the training split."""
     from ..operators.neighbors import smote as sm
-    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY).where(~F.col("is_test")).drop(
-        "class_rank", "class_n", "is_test")
-    out = sm(s, TARGET, KEY, _KNN_FEATURES, k=5)
-    return out.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"),
-                                   *[F.round(F.avg(f), 6).alias(f"mean_{f}") for f in _KNN_FEATURES])
+    full, features = _preprocessed(spark, sf)
+    s = E.stratified_split(full, TARGET, KEY).where(~F.col("is_test")).drop("class_rank", "class_n", "is_test")
+    out = sm(s, TARGET, KEY, features, k=5)
+    return out.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f), 6).alias(f"mean_{f}") for f in NUMERIC])
 
 
 @register("adaboost")
 def adaboost(spark, sf):
     """SAMME AdaBoost of 200 stumps trained on the train split; test AUC."""
-    s = E.stratified_split(_standardised(spark, sf), TARGET, KEY)
-    model = T.adaboost(s.where(~F.col("is_test")), _KNN_FEATURES, TARGET, rounds=200)
+    full, features = _preprocessed(spark, sf)
+    s = E.stratified_split(full, TARGET, KEY)
+    model = T.adaboost(s.where(~F.col("is_test")), features, TARGET, rounds=200)
     test = T.adaboost_scores(s.where(F.col("is_test")), model)
     auc = E.roc_auc(test, TARGET, "p")
     return auc.select("n_pos", "n_neg", F.rint(F.col("auc") * 1e9) / 1e9, F.lit(len(model.stumps)).alias("rounds"))
