@@ -4,7 +4,7 @@ Documents are tokenised (with an end token) and cut into full sequences and one
 all that the optimiser needs: lengths are counted in units of ``UNIT`` tokens, so it has at most ``size / UNIT`` rows
 whatever the size of the corpus. Patterns of rests that fit into one sequence are the columns of a linear program; an
 unbounded-knapsack dynamic program prices them against the duals until no column improves the program. The solution is
-rounded down, the few rests left over (bounded by the program's size) are packed first-fit decreasing, and the pieces
+rounded down, the few rests left over (bounded by the program's size) fill sequences by exact subset sums, and the pieces
 of each length, ranked within distributed buckets, take the places that the rounded patterns give to their length.
 
 Only the histogram goes to the driver, and only the pattern table (at most a few thousand rows) is broadcast.
@@ -34,6 +34,8 @@ UNIT = 8
 END_ID = 1
 #: Relative distance from the linear program's optimum at which columns are no longer added.
 GAP = 1e-3
+#: Rests that the greedy filling behind the first columns takes; exchanges without progress that end the program.
+START, STALL = 4096, 2000
 #: Pieces of one length per ranking bucket, about.
 BUCKET = 10_000
 
@@ -102,22 +104,72 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), column
 
 
+def filled(need: dict[int, int], capacity: int) -> list[dict[int, int]]:
+    """What rounding left over: each sequence takes the longest rest, then the lengths that fill it best, long ones first.
+
+    The best filling is an exact subset sum over the lengths at hand, as bits of a number.
+    """
+    need, out = dict(need), []
+    while need:
+        content: dict[int, int] = {}
+        first = max(need)
+        room, reach, steps = capacity - first, 1, []
+        lengths = sorted(need, reverse=True)
+        for u in lengths:
+            for _ in range(min(need[u] - (u == first), room // u)):
+                if reach >> room & 1:
+                    break
+                steps.append((u, reach))
+                reach |= (reach << u) & ((1 << room + 1) - 1)
+        at = reach.bit_length() - 1
+        taken = [first]
+        for u, before in reversed(steps):
+            if not before >> at & 1:
+                taken.append(u)
+                at -= u
+        for u in taken:
+            content[u] = content.get(u, 0) + 1
+            need[u] -= 1
+            if not need[u]:
+                del need[u]
+        out.append(content)
+    return out
+
+
 def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Patterns and (fractional) times of a basis within ``GAP`` of the fewest sequences that take all rests.
 
+    The first columns are the patterns of a greedy filling of the histogram, scaled to ``START`` rests so that it costs the
+    same for any corpus; the program then is no worse than that filling before the first column is priced. Known columns
+    enter first; the dynamic program prices a new one when none of them improves the program. Without progress for
+    ``STALL`` exchanges the basis is taken as it is: the plan made from it places all rests in any case.
+
     The counts are perturbed by a hair, so that every exchange of a column makes progress; the times returned are those
     of the true counts.
     """
     m = len(lengths)
+    place = {int(u): i for i, u in enumerate(lengths)}
+    scaled = np.maximum(1, np.rint(counts * min(1.0, START / counts.sum()))).astype(int)
+    known = sorted({tuple(sorted(x.items())) for x in filled(dict(zip(lengths.tolist(), scaled.tolist())), capacity)})
+    pool = np.zeros((m, len(known)))
+    for j, content in enumerate(known):
+        for u, k in content:
+            pool[place[u], j] = k
     patterns = np.diag(capacity // lengths).astype(float)
     inverse = np.diag(1.0 / np.diag(patterns))
     shifted = counts * (1 + 1e-5 * np.random.default_rng(0).random(m))
     x, floor = inverse @ shifted, lengths @ shifted / capacity
-    for turn in range(40 * m):
-        value, column = price(inverse.sum(axis=0), lengths, capacity)
-        # No solution is below the tokens to place, nor below the present one divided by the best column's value.
-        if x.sum() <= (1 + GAP) * max(floor, x.sum() / value):
-            break
+    best, since, turn = np.inf, 0, 0
+    while since < STALL:
+        duals = inverse.sum(axis=0)
+        worth = duals @ pool
+        column = pool[:, int(worth.argmax())]
+        if worth.max() <= 1 + 1e-7:
+            value, column = price(duals, lengths, capacity)
+            # No solution is below the tokens to place, nor below the present one divided by the best column's value.
+            if x.sum() <= (1 + GAP) * max(floor, x.sum() / value):
+                break
+            pool = np.column_stack([pool, column])
         direction = inverse @ column
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -125,9 +177,11 @@ def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int) ->
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        if turn % 500 == 499:
+        turn += 1
+        if turn % 200 == 0:
             inverse = np.linalg.inv(patterns)
         x = np.maximum(inverse @ shifted, 0)
+        best, since = (x.sum(), 0) if x.sum() < best * (1 - 1e-6) else (best, since + 1)
     x = np.maximum(np.linalg.solve(patterns, counts), 0)
     return [(patterns[:, j].astype(int), float(x[j])) for j in range(m)]
 
@@ -145,22 +199,12 @@ def pattern_table(histogram: dict[int, int], size: int = SEQUENCE, unit: int = U
     if len(lengths):
         need = np.array([counts[x] for x in lengths.tolist()], int)
         for column, times in column_generation(lengths, need.astype(float), capacity):
-            whole = int(times + 1e-6)
-            while whole > 0 and (need < whole * column).any():
-                whole -= 1
+            used = column > 0
+            whole = min(int(times + 1e-6), int((need[used] // column[used]).min()))
             if whole > 0:
                 need = need - whole * column
                 plan.append(({int(u): int(k) for u, k in zip(lengths, column) if k}, whole))
-        # What rounding left over: first fit decreasing.
-        left: list[list] = []
-        for u, k in zip(lengths[::-1].tolist(), need[::-1].tolist()):
-            for _ in range(k):
-                place = next((s for s in left if s[0] >= u), None)
-                if place is None:
-                    left.append(place := [capacity, {}])
-                place[0] -= u
-                place[1][u] = place[1].get(u, 0) + 1
-        plan += [(content, 1) for _, content in left]
+        plan += [(content, 1) for content in filled({u: k for u, k in zip(lengths.tolist(), need.tolist()) if k}, capacity)]
     table, taken, sequence = [], {}, 0
     for content, times in plan:
         for u, k in content.items():

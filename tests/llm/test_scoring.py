@@ -268,3 +268,29 @@ def test_pipeline_stages_keep_their_contract(spark, data, tmp_path):
 def test_pipeline_runs_over_a_table(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("seed, scale", [(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (7, 250_000)])
+def test_plans_of_other_histograms(seed, scale):
+    """Within 2 percent of the bound, every rest placed once, also for a billion rests."""
+    rng = np.random.default_rng(seed)
+    histogram = {}
+    for x in rng.integers(1, 2048, 4000).tolist():
+        histogram[x] = histogram.get(x, 0) + scale
+    table = packing.pattern_table(histogram)
+    used = max(first + -(-(hi - lo) // k) for _, lo, hi, k, first in table)
+    assert used <= 1.02 * sum(x * n for x, n in histogram.items()) / 2048
+    placed = {}
+    for units, lo, hi, _, _ in table:
+        assert lo == placed.get(units, 0)
+        placed[units] = hi
+    wanted = {}
+    for x, n in histogram.items():
+        wanted[-(-x // 8)] = wanted.get(-(-x // 8), 0) + n
+    assert placed == wanted
+
+
+def test_subset_sums_fill_exactly():
+    assert packing.filled({5: 2, 3: 1, 2: 1}, 10) == [{5: 2}, {3: 1, 2: 1}]
+    assert packing.filled({7: 1, 4: 1, 3: 1, 2: 3}, 10) == [{7: 1, 3: 1}, {4: 1, 2: 3}]
+    assert packing.filled({}, 10) == []
