@@ -109,6 +109,10 @@ def smote(df: DataFrame, label: str, key: str, features: list[str] | None = None
                                                  F.when(acc["v"].isNull() & (pick < acc["c"] + y["cnt"]), y["v"])
                                                  .otherwise(acc["v"]).alias("v")))
     x = x.withColumn("__nn", chosen["v"]).withColumn("__u", u)
+    types = dict(df.dtypes)
+    if types[feats[0]].startswith("array"):   # the whole vector in one column
+        between = F.zip_with(feats[0], "__nn", lambda a, b: a + F.col("__u") * (b - a))
+        return df.unionByName(x.select(*[between.alias(c) if c == feats[0] else F.col(c) for c in df.columns]))
     synth = x.select(*[
         (F.col(c).cast("double") + F.col("__u") * (F.col("__nn")[i] - F.col(c).cast("double"))).cast(dict(df.dtypes)[c]).alias(c)
         if c in feats else F.col(c) for i, c in enumerate_feats(df.columns, feats)])

@@ -16,12 +16,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import evaluate as E
+from .ensembles import AdaBoostStumps, ExtraTrees, LeafwiseBoosting, NearestNeighbours
 from .clean import add_features, clean, encode_target, imbalance, split_columns
 
 SEED = 42
@@ -52,11 +53,12 @@ def preprocessor(numeric: list[str], categorical: list[str]) -> list:
     return stages
 
 
-def catalogue(fast: bool = True, n_rows: int | None = None) -> dict:
-    """Unfitted estimators by display name (fast: 5, full: 9 here + AdaBoost, k-NN).
+def catalogue(fast: bool = True, n_rows: int | None = None, categorical: list[str] | tuple[str, ...] = ()) -> dict:
+    """Unfitted estimators by display name (fast: 5, full: 11).
 
-    Tree boosters from other libraries are expressed as ``GBTClassifier`` presets
-    with the same iteration count, learning rate, depth and subsampling.
+    The fast boosters are ``GBTClassifier`` presets with the same iteration count, learning rate, depth and subsampling:
+    one level of a tree is one Spark job either way, and MLlib's run in the JVM. The full catalogue has the library's own
+    leaf-wise booster, ordered target statistics of the ``categorical`` columns, extra trees, AdaBoost and k-NN.
     """
     lr_reg = 1.0 / n_rows if n_rows else 0.0   # sklearn C=1 on the summed loss -> 1/(C*n) on the mean loss
     lr = LogisticRegression(maxIter=1000, regParam=lr_reg, elasticNetParam=0.0, standardization=False)
@@ -72,12 +74,14 @@ def catalogue(fast: bool = True, n_rows: int | None = None) -> dict:
         "Régression logistique": lr,
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
         "Random Forest": RandomForestClassifier(numTrees=300, seed=SEED),
-        "Extra Trees": RandomForestClassifier(numTrees=300, bootstrap=False, maxBins=8, seed=SEED),
+        "Extra Trees": ExtraTrees(trees=300, seed=SEED),
+        "AdaBoost": AdaBoostStumps(rounds=200),
+        "k-NN": NearestNeighbours(k=15),
         "Gradient Boosting": GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=SEED),
         "HistGradient Boosting": GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=SEED),
         "XGBoost": GBTClassifier(maxIter=300, stepSize=0.1, maxDepth=5, subsamplingRate=0.9, seed=SEED),
-        "LightGBM": GBTClassifier(maxIter=300, stepSize=0.05, maxDepth=5, seed=SEED),
-        "CatBoost": GBTClassifier(maxIter=300, stepSize=0.05, maxDepth=6, seed=SEED),
+        "LightGBM": LeafwiseBoosting(rounds=300, rate=0.05, leaves=31, depth=6, seed=SEED),
+        "CatBoost": LeafwiseBoosting(rounds=300, rate=0.05, leaves=64, depth=6, categorical=tuple(categorical), seed=SEED),
     }
 
 
@@ -131,12 +135,12 @@ class TrainResult:
 
 def train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leaks: list[str],
                      models: dict | None = None, folds: int = 3, test_pct: int = 20,
-                     balance: str | None = None) -> TrainResult:
+                     balance: str | None = "auto") -> TrainResult:
     """Per model CV on the train split, fit, test metrics; pick and refit the best.
 
-    ``balance="smote"`` oversamples the minority class of each training set
-    (never the evaluation rows); ``balance="weight"`` uses class weights instead;
-    ``balance="auto"`` oversamples when the largest class is 1.5 times the smallest.
+    ``balance="auto"`` oversamples when the largest class is 1.5 times the smallest (C17), ``"smote"`` always, ``"weight"``
+    uses class weights instead, None leaves the classes alone. Oversampling is done on the preprocessed vectors of each
+    training set, never on evaluation rows (D14).
     """
     held: list[DataFrame] = []
     try:
@@ -161,7 +165,7 @@ def _train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leak
     n_rows = train.count()
     if models is None or isinstance(models, (list, tuple)):
         # Names (or nothing): take them from the catalogue sized for this training set.
-        full = {**catalogue(False, n_rows), **catalogue(True, n_rows)}
+        full = {**catalogue(False, n_rows, prep.categorical), **catalogue(True, n_rows)}
         models = {n: full[n] for n in models} if models else catalogue(True, n_rows)
     rows = []
     # Fold fits and the train/test fit of one model are independent Spark jobs:
@@ -172,9 +176,7 @@ def _train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leak
 
     def fit_eval(est, fit_df, eval_df):
         # Fresh copies per thread: estimators hold their JVM peer while fitting.
-        stages = [s.copy() for s in prep.stages] + [_with_weight(est.copy(), balance)]
-        m = Pipeline(stages=stages).fit(_balanced(fit_df, balance, key))
-        return evaluate_predictions(_proba(m, eval_df))
+        return evaluate_predictions(_proba(fit_balanced([s.copy() for s in prep.stages], est.copy(), fit_df, balance, key), eval_df))
 
     mean = lambda v: sum(v) / len(v)
     std = lambda v: math.sqrt(sum((x - mean(v)) ** 2 for x in v) / len(v))
@@ -192,8 +194,7 @@ def _train_and_select(df: DataFrame, target: str, key: str, ids: list[str], leak
     board = E.select_best(board, "test_roc_auc", "test_f1")
     best = board.where("selected").first()["model"]
     reason = E.selection_sentence(board, "model", "test_roc_auc", "test_f1").first()["reason"]
-    final = Pipeline(stages=prep.stages + [_with_weight(models[best], balance)]).fit(
-        _balanced(prep.frame, balance, key))
+    final = fit_balanced(prep.stages, models[best], prep.frame, balance, key)
     return TrainResult(format_leaderboard(board), best, final, reason)
 
 
@@ -215,20 +216,21 @@ def _with_weight(est, balance):
     return est
 
 
-def _balanced(df: DataFrame, balance: str | None, key: str) -> DataFrame:
+def fit_balanced(stages: list, est, df: DataFrame, balance: str | None, key: str) -> PipelineModel:
+    """Preprocessor, then oversampling of its vectors or class weights, then the model; one pipeline to score with."""
+    before = Pipeline(stages=stages).fit(df)
+    x = before.transform(df)
     if balance == "smote":
         from .neighbors import smote
-        named = [c for c in df.columns if c not in ("label", key, "fold", "class_rank", "class_n", "is_test")]
-        numeric = [c for c, t in df.dtypes if c in named and t in ("double", "float", "int", "bigint")]
-        return smote(df.drop("class_rank", "class_n", "fold", "is_test"), "label", key, numeric)
+        x = x.drop("class_rank", "class_n", "fold", "is_test").withColumn("features", vector_to_array("features"))
+        x = smote(x, "label", key, ["features"]).withColumn("features", array_to_vector("features"))
     if balance == "weight":
         counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-        total = counts.agg(F.sum("__n")).first()[0]
-        k = counts.count()
+        total, k = counts.agg(F.sum("__n"), F.count("*")).first()
         # One row per class: bounded broadcast.
-        w = counts.select("label", (F.lit(float(total)) / (F.lit(k) * F.col("__n"))).alias("class_weight"))
-        return df.join(F.broadcast(w), "label")
-    return df
+        w = counts.select("label", (F.lit(float(total or 0)) / (F.lit(k) * F.col("__n"))).alias("class_weight"))
+        x = x.join(F.broadcast(w), "label")
+    return PipelineModel(stages=[*before.stages, _with_weight(est, balance).fit(x)])
 
 
 @dataclass
@@ -273,7 +275,7 @@ def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: i
         per = {}
         for h in hist:
             per.setdefault(h["f"], {})[h["b"]] = (h["wp"], h["wn"])
-        total = sum(wp + wn for d in per.values() for wp, wn in d.values())
+        total = sum(wp + wn for wp, wn in next(iter(per.values()), {}).values())   # every feature holds all rows once
         for f, d in per.items():
             nb = len(edges[features[f]]) + 1
             tot_p = sum(v[0] for v in d.values())
