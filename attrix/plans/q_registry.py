@@ -136,3 +136,24 @@ def register_and_activate(spark, sf):
     return listing.select("version", "algorithm", F.size("features").alias("n_features"), "active_scope",
                           J.model_label(F.col("target"), F.col("dataset")).alias("label"),
                           F.lit(runs.count()).alias("logged_models"), F.lit(version).alias("registered"))
+
+
+@register("registry_commits", _REG_SQL + """,
+left_over AS (SELECT * FROM versions WHERE status <> 'P' OR version IN (SELECT version FROM cur)),
+now AS (SELECT scope, version FROM cur
+        UNION ALL SELECT username, max(version) FROM left_over WHERE username NOT IN (SELECT scope FROM cur) GROUP BY username)
+SELECT scope, n.version, count(*) AS n_versions FROM now n JOIN left_over v ON v.username = n.scope GROUP BY scope, n.version""")
+def registry_commits(spark, sf):
+    """J1-J5, J10 as commits: versions registered, activated, pending ones deleted, owners without an active one backfilled."""
+    from ..operators.registry_log import Registry
+    from ..sources.files import scratch_path
+    _, versions, acts, status = fixtures.registry_tables(spark, sf)
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    registry.register(versions.withColumns({"classes": F.array(F.lit("0"), F.lit("1")), "reason": F.lit(None).cast("string"),
+                                            "model_path": F.lit(None).cast("string"), "ts": F.col("ts").cast("timestamp")}))
+    registry.activate(acts.withColumn("ts", F.col("ts").cast("timestamp")))
+    registry.delete(status.where(F.col("status") == "P").select("version"))
+    registry.backfill()
+    s = registry.snapshot()
+    owned = s.versions().groupBy(F.col("username").alias("scope")).agg(F.count(F.lit(1)).alias("n_versions"))
+    return s.current().join(owned, "scope").select("scope", "version", "n_versions")
