@@ -38,12 +38,16 @@ EXACT_ROWS = 1 << 16
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The vector as the bytes of its doubles; null if it cannot link."""
+    """The vector as the bytes of its doubles; null if it cannot link.
+
+    It is scaled by a power of two, which keeps every cosine, so that no square of it over- or underflows.
+    """
     for batch in batches:
         out = []
         for v in batch.column("vector").to_pylist():
             x = np.array([np.nan if a is None else a for a in v or ()], np.float64)
-            out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0 else None)
+            links = len(x) and np.isfinite(x).all() and x.any()
+            out.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes() if links else None)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
 
 
