@@ -8,6 +8,7 @@ from ..functions.scalars import risk_level
 from ..operators.rules import rule_score
 from ..sources import fixtures
 from ..sources.files import scratch_path
+from ..sources.keyed import KeyedTable
 from ..sources.tables import read_table
 from ..streaming import jobs as M
 from .catalog import register
@@ -123,4 +124,4 @@ def stream_append(spark, sf):
     for _ in range(2):      # the second run replays every file: nothing new is appended
         M.run(M.idempotent_append(M.file_stream(spark, src, users.schema), "username", target,
                                   scratch_path(spark, "m5-ck")))
-    return spark.read.parquet(target)
+    return KeyedTable(spark, target, users.schema, "username").read()

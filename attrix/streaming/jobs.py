@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import risk_level
-from ..operators.registry import append_unseen
 from ..operators.score import risk_score
 from ..sources.files import scratch_path
+from ..sources.keyed import KeyedTable
 
 #: The TTL dedupe: event times of a key sorted at once, read again at once from a sorted run, and emitted at once.
 RUN_ROWS = 1 << 20
@@ -205,15 +205,11 @@ def dedupe_within_ttl(stream: DataFrame, key: str, ts: str, ttl_seconds: int, ou
 
 
 def idempotent_append(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """M5: each micro-batch appends only rows whose key is not yet in the target table."""
+    """M5: each micro-batch appends only rows whose key is not yet in the keyed table at ``target``.
+
+    It reads the keys of the buckets that its own rows hit; a replayed batch adds nothing.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        from ..sources.files import _exists
-        if _exists(spark, target):
-            existing = spark.read.parquet(target)
-            fresh, _ = append_unseen(batch.dropDuplicates([key]), existing, key)
-        else:
-            fresh = batch.dropDuplicates([key])
-        fresh.write.mode("append").parquet(target)
+        KeyedTable(batch.sparkSession, target, batch.schema, key).append(batch)
     return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
             .trigger(availableNow=True).start())
