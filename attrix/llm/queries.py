@@ -39,53 +39,63 @@ def _query(fn):
 
 @_query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in 50-word windows which an earlier document has, too."""
     return substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
 @_query
 def op4_column_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that lie in 200-byte strings which occur again anywhere."""
     return column_bwt_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
 @_query
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word shingles agree to 85 percent."""
     return shingle_join(read_table(spark, sf_dir, "documents"))
 
 
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of 2,048."""
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 @_query
 def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and the posterior's verdict for every document."""
     return quality_votes(read_table(spark, sf_dir, "documents"))
 
 
 @_query
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by rules learned from the labels that are not held out."""
     scored = rule_ensemble(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 @_query
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors whose cosine is at least 0.98 within a label."""
     return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
 
 
 @_query
 def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by clauses, learned from the labels that are not held out."""
     scored = toxicity_grammar(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 @_query
 def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base spans and those that the boosted trees add."""
     return find_pii(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
 @_query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by the public piece model, as counts and a digest."""
     return encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
