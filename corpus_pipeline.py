@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on every document its predecessor
 ``documents``; the last returns the packed pieces. Between stages the documents are written as Parquet to shared storage
 and read again, so a lost executor costs one stage at most.
 
-All stages treat odd rows alike. A null text counts as empty and stays null where no stage changes it; empty texts are scored like
+All stages treat odd rows alike. A null text counts as empty; empty texts are scored like
 any other by the first stage and pass the others. Texts of any length are judged whole. Rows without an id are kept by the
 deduplicating stages, as nothing can refer to them. Repeated rows are rows of their own, except that near_duplicates keeps
 all rows of the least id of a group. An empty table gives an empty result. Further columns are kept up to the last stage,
