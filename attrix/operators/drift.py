@@ -81,13 +81,11 @@ def _shares(df: DataFrame, cols: list[str], edges: dict[str, list[float]]) -> Da
 
 
 def build_reference(df: DataFrame, columns: list[str]) -> DataFrame:
-    """H5: reference distributions of ``columns`` (2 aggregation jobs + 1 shares job)."""
+    """H5: reference distributions of ``columns`` (exact quantiles, then one pass for the shares)."""
     spark = df.sparkSession
     columns = [c for c in columns if c in df.columns]
     cont = continuous_columns(df, columns)
     q = quantiles(df, cont, [i / N_BINS for i in range(N_BINS + 1)])
-    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cont)],
-                *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cont)]).first() if cont else {}
     edges = decile_edges(spark, {c: q[c][0] for c in cont}) if cont else {}
     shares = _shares(df, columns, edges)
     # Numeric bins: every bin present (empty ones at 0), with its edges.

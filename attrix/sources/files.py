@@ -163,10 +163,10 @@ def newest_dataset(spark: SparkSession, root: str, features: list[str] | None =
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text)."""
+    """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text); blank files are left out."""
     glob = "*.{" + ",".join(DOC_EXT) + "}"
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    return df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")).where(~F.col("text").rlike(r"(?U)^\s*$"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None,

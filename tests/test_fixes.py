@@ -148,3 +148,11 @@ def test_text_targets_and_bad_targets(spark):
         encode_target(df, "n")
     levels = {r["level"]: r["left_share"] for r in entry.queries()["trained_scores"](spark, SF_SMALL).collect()}
     assert levels.get("eleve", 1.0) > levels.get("faible", 0.0)
+
+
+def test_blank_documents_are_left_out(spark, tmp_path):
+    from attrix.sources.files import read_documents
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.md", "# T\n\nwords"), ("b.txt", " \n\t \n"), ("in/c.markdown", ""), ("in/d.txt", "\n x \n"), ("e.csv", "no")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    assert sorted(r["text"] for r in read_documents(spark, str(tmp_path)).collect()) == ["\n x \n", "# T\n\nwords"]
