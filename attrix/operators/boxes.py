@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column])
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """A column of vectors of one length, as it is and as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column, column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
 def nearest(queries: DataFrame, refs: DataFrame, need: int, per_leaf: int = 32) -> tuple[DataFrame, DataFrame]:
     """The ``need`` nearest points of every query, and how many pairs were compared.
 
@@ -128,11 +139,11 @@ def nearest(queries: DataFrame, refs: DataFrame, need: int, per_leaf: int = 32)
     stored = dealt.join(F.broadcast(sizes), "leaf").withColumn("piece", F.pmod(F.xxhash64("v", F.lit(7)), F.col("pieces")).cast("int")).drop("pieces")
 
     def visits(later: bool):
-        def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, len(batch), 256):
-                    some = batch.iloc[start : start + 256]
-                    q = _matrix(some["qv"])
+                    some = batch.slice(start, 256)
+                    q = _vectors(some.column("qv"))[1]
                     least, middle = np.empty((len(q), len(leaf))), np.empty((len(q), len(leaf)))
                     for i, v in enumerate(q):
                         least[i] = np.sqrt((np.maximum(np.maximum(lo - v, v - hi), 0) ** 2).sum(axis=1))
@@ -141,29 +152,44 @@ def nearest(queries: DataFrame, refs: DataFrame, need: int, per_leaf: int = 32)
                     before = np.cumsum(cnt[order], axis=1) - cnt[order]
                     chosen = np.zeros(least.shape, bool)
                     np.put_along_axis(chosen, order, before < FIRST * need, axis=1)
-                    bound = some["bound"].to_numpy(float)
+                    bound = some.column("bound").to_numpy(zero_copy_only=False).astype(float)
                     bound = np.where(np.isnan(bound), np.inf, bound)
                     if later:
                         chosen = ~chosen & (least * (1 - SLACK) <= bound[:, None] + SLACK)
                     row, col = np.nonzero(chosen)
-                    yield pd.DataFrame({"qid": some["qid"].to_numpy()[row], "qv": some["qv"].to_numpy()[row], "bound": bound[row], "leaf": leaf[col].astype("int32")})
+                    met = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([some.column("qid").take(met), some.column("qv").take(met), pa.array(bound[row]), pa.array(leaf[col].astype("int32"))],
+                                                     ["qid", "qv", "bound", "leaf"])
         return plan
 
-    def compare(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "nbrs": [], "pairs": []}
-        if len(q) and len(r):
-            d = np.rint(distances(_matrix(q["qv"]), _matrix(r["v"])) * 1e9) / 1e9
-            rid, many, vectors, labels = r["rid"].to_numpy(), r["cnt"].to_numpy(), r["v"].to_list(), r["lsum"].to_numpy()
+    def compare(q: pa.Table, r: pa.Table) -> pa.Table:
+        # By whole arrays: what a list holds is taken from the columns, no value becomes an object.
+        vectors, points = _vectors(r["v"])
+        if not len(q) or not len(r):
+            kept, counts, at, near = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        else:
+            d = np.rint(distances(_vectors(q["qv"])[1], points) * 1e9) / 1e9
+            rid, many = r["rid"].to_numpy(), r["cnt"].to_numpy()
             rank = np.argsort(np.argsort(rid, kind="stable"), kind="stable")
-            for i, (own, bound) in enumerate(zip(q["qid"].tolist(), q["bound"].tolist())):
-                near = np.flatnonzero(d[i] <= bound)
-                near = near[np.lexsort((rank[near], d[i, near]))]
-                near = near[: int(np.searchsorted(np.cumsum(many[near]), need)) + 1]
-                if len(near) or not i:      # the first query carries the number of pairs
-                    out["qid"].append(own)
-                    out["nbrs"].append([{"dist": d[i, j], "rid": rid[j], "v": vectors[j], "cnt": int(many[j]), "lsum": labels[j]} for j in near])
-                    out["pairs"].append(0 if i else len(q) * len(r))
-        return pd.DataFrame(out)
+            # No more than ``need`` points are wanted, so none beyond the distance of that one.
+            last = min(need, len(r)) - 1
+            limit = np.fmin(q["bound"].to_numpy(), np.partition(d, last, axis=1)[:, last])
+            own, at = np.nonzero(d <= limit[:, None])
+            order = np.lexsort((rank[at], d[own, at], own))
+            own, at = own[order], at[order]
+            begin = np.searchsorted(own, own)
+            total = np.concatenate([[0], np.cumsum(many[at])])
+            some = total[:-1] - total[begin] < need
+            own, at = own[some], at[some]
+            near = d[own, at]
+            counts = np.bincount(own, minlength=len(q))
+            kept = np.flatnonzero((counts > 0) | (np.arange(len(q)) == 0))      # the first query carries the number of pairs
+            counts = counts[kept]
+        take = pa.array(at, pa.int64())
+        nbrs = pa.StructArray.from_arrays([pa.array(near, pa.float64()), r["rid"].combine_chunks().take(take), vectors.take(take),
+                                           r["cnt"].combine_chunks().take(take), r["lsum"].combine_chunks().take(take)], ["dist", "rid", "v", "cnt", "lsum"])
+        pairs = np.where(kept == 0, len(q) * len(r), 0)
+        return pa.table([q["qid"].combine_chunks().take(pa.array(kept, pa.int64())), _lists(counts, nbrs), pa.array(pairs, pa.int64())], ["qid", "nbrs", "pairs"])
 
     def searched(some: DataFrame) -> DataFrame:
         # Every piece of a leaf meets its queries, in groups of about QUERIES.
@@ -173,7 +199,7 @@ def nearest(queries: DataFrame, refs: DataFrame, need: int, per_leaf: int = 32)
         q = q.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("group", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int"))
         r = stored.join(F.broadcast(loads), "leaf").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         keys = ["leaf", "piece", "group"]
-        return q.select(*keys, "qid", "qv", "bound").groupBy(*keys).cogroup(r.select(*keys, "v", "rid", "cnt", "lsum").groupBy(*keys)).applyInPandas(compare, found + ", pairs long")
+        return q.select(*keys, "qid", "qv", "bound").groupBy(*keys).cogroup(r.select(*keys, "v", "rid", "cnt", "lsum").groupBy(*keys)).applyInArrow(compare, found + ", pairs long")
 
     def merged(df: DataFrame) -> DataFrame:
         # At most the lists of a query's own pieces, each cut to what covers ``need`` points.
@@ -182,9 +208,9 @@ def nearest(queries: DataFrame, refs: DataFrame, need: int, per_leaf: int = 32)
 
     queries = cut_lineage(queries.select("qid", "qv"))
     plan = f"qid {kind}, qv array<double>, bound double, leaf int"
-    one = cut_lineage(merged(searched(queries.withColumn("bound", F.lit(None).cast("double")).mapInPandas(visits(False), plan))))
+    one = cut_lineage(merged(searched(queries.withColumn("bound", F.lit(None).cast("double")).mapInArrow(visits(False), plan))))
     bounded = queries.join(one.select("qid", _reach("nbrs", need).alias("bound")), "qid", "left")
-    two = searched(bounded.mapInPandas(visits(True), plan))
+    two = searched(bounded.mapInArrow(visits(True), plan))
     both = cut_lineage(merged(one.select("qid", "nbrs", "pairs").unionByName(two)))
     return both.select("qid", "nbrs"), both.select(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 

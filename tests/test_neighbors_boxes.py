@@ -75,3 +75,26 @@ def test_tree_covers_every_vector():
     tree = boxes.Tree(x, 4)
     leaf = tree.leaf_of(x)
     assert set(leaf) == set(range(tree.leaves)) and (np.bincount(leaf)[leaf[50:52]] <= 4).all()
+
+
+def test_pieces_are_compared_as_arrow_tables(spark, monkeypatch):
+    """Lists of neighbours are taken from columns; a group that goes through Python objects would fail here."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from attrix.operators.boxes import nearest
+
+    def refuse(*_):
+        raise AssertionError("rows became objects")
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", refuse)
+    refs = spark.createDataFrame([([float(i), float(i % 3)], i, 1 + i % 2, 1.0) for i in range(40)], "v array<double>, rid long, cnt long, lsum double")
+    queries = spark.createDataFrame([(7, [3.2, 0.0]), (8, [39.0, 1.0])], "qid long, qv array<double>")
+    got = {r["qid"]: [n["rid"] for n in r["nbrs"]] for r in nearest(queries, refs, 3, 4)[0].collect()}
+    want = {}
+    for q, (x, y) in ((7, (3.2, 0.0)), (8, (39.0, 1.0))):
+        order, total, want[q] = sorted(range(40), key=lambda i: (round(((i - x) ** 2 + (i % 3 - y) ** 2) ** 0.5, 9), i)), 0, []
+        for i in order:
+            if total < 3:
+                want[q].append(i)
+                total += 1 + i % 2
+    assert got == want
