@@ -26,6 +26,8 @@ from .ensembles import AdaBoostStumps, ExtraTrees, LeafwiseBoosting, NearestNeig
 from .clean import add_features, clean, encode_target, imbalance, split_columns
 
 SEED = 42
+#: Rows of a task of a boosting round: a round is a few small jobs, so its time is that of its tasks' starts.
+BOOST_ROWS = 25_000
 
 
 def preprocessor(numeric: list[str], categorical: list[str]) -> list:
@@ -230,6 +232,9 @@ def fit_balanced(stages: list, est, df: DataFrame, balance: str | None, key: str
         # One row per class: bounded broadcast.
         w = counts.select("label", (F.lit(float(total or 0)) / (F.lit(k) * F.col("__n"))).alias("class_weight"))
         x = x.join(F.broadcast(w), "label")
+    x = cut_lineage(x)   # a fit reads its rows several times: neighbours are searched once
+    if isinstance(est, GBTClassifier):
+        x = x.coalesce(max(1, math.ceil(x.count() / BOOST_ROWS)))
     return PipelineModel(stages=[*before.stages, _with_weight(est, balance).fit(x)])
 
 

@@ -120,3 +120,18 @@ def test_catalogue_is_complete():
     from attrix.session import build_session
     build_session("local[4]")
     assert len(T.catalogue(True)) == 5 and len(T.catalogue(False)) == 11
+
+
+def test_boosting_reads_stored_rows_in_few_tasks(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from attrix.operators import train as T
+
+    seen = []
+    fit = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, x: seen.append((x.rdd.getNumPartitions(), x._jdf.queryExecution().optimizedPlan().toString())) or fit(self, x))
+    df = spark.range(60).selectExpr("id", "cast(id as double) a", "cast(id > 30 as double) label").repartition(7)
+    T.fit_balanced([VectorAssembler(inputCols=["a"], outputCol="features")], GBTClassifier(maxIter=2), df, None, "id")
+    partitions, plan = seen[0]
+    assert partitions == 1 and "LogicalRDD" in plan and "Repartition 7" not in plan
