@@ -9,8 +9,11 @@ reused by every fit and every evaluation.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import evaluate as E
-from .ensembles import AdaBoostStumps, ExtraTrees, LeafwiseBoosting, NearestNeighbours
+from .ensembles import AdaBoostStumps, ExtraTrees, LeafwiseBoosting, NearestNeighbours, _cells, _summed
 from .clean import add_features, clean, encode_target, imbalance, split_columns
 
 SEED = 42
@@ -255,11 +258,11 @@ def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: i
              checkpoint_every: int = 10) -> StumpEnsemble:
     """SAMME AdaBoost of depth-1 trees on binned features (histogram stumps).
 
-    One aggregation pass per round: the weighted positive/negative mass per
-    ``(feature, bin)`` - at most ``features x bins`` rows reach the driver, where
-    the best threshold and polarity are picked; the weight update is a
-    projection. Lineage is cut with a reliable checkpoint every
-    ``checkpoint_every`` rounds.
+    One pass per round: every task adds the weighted positive/negative mass per
+    ``(feature, bin)`` by arrays, Spark sums the tasks' cells - at most
+    ``features x bins`` rows reach the driver, where the best threshold and
+    polarity are picked; the weight update is a projection. Lineage is cut with a
+    reliable checkpoint every ``checkpoint_every`` rounds.
     """
     probs = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]), 10000)
@@ -267,19 +270,25 @@ def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: i
     edges = {c: sorted(set(float(x) for x in (row[f"e{i}"] or []))) for i, c in enumerate(features)}
     y = F.col(label).cast("int")
     cur = df.select(*[_bin_col(c, edges[c]).alias(f"__b{i}") for i, c in enumerate(features)],
-                    y.alias("__y"), F.lit(1.0).alias("__w"))
+                    y.alias("__y"), F.lit(1.0).alias("__w")).where(F.col("__y").isNotNull())   # rows without a label have no mass
     cur = cut_lineage(cur)          # the binned frame: every round reads it, not the input plan
     model = StumpEnsemble(list(features), edges)
+    shape = (len(features), max(map(len, edges.values()), default=0) + 1, 2)
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(shape)
+        for batch in batches:
+            y, w = batch.column("__y").to_numpy(), batch.column("__w").to_numpy()
+            for i in range(shape[0]):
+                bins_of = batch.column(f"__b{i}").to_numpy()
+                found[i, :, 0] += np.bincount(bins_of, w * y, shape[1])
+                found[i, :, 1] += np.bincount(bins_of, w * (1 - y), shape[1])
+        yield _cells(found)
+
     for r in range(rounds):
-        long = cur.select("__y", "__w", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("f"), F.col(f"__b{i}").alias("b")) for i in range(len(features))])).alias("fb"))
-        hist = (long.groupBy("fb.f", "fb.b")
-                .agg(F.sum(F.col("__w") * F.col("__y")).alias("wp"),
-                     F.sum(F.col("__w") * (1 - F.col("__y"))).alias("wn")).collect())
+        hist = _summed(cur, masses, shape)
         best = None
-        per = {}
-        for h in hist:
-            per.setdefault(h["f"], {})[h["b"]] = (h["wp"], h["wn"])
+        per = {f: dict(enumerate(map(tuple, hist[f]))) for f in range(shape[0])}
         total = sum(wp + wn for wp, wn in next(iter(per.values()), {}).values())   # every feature holds all rows once
         for f, d in per.items():
             nb = len(edges[features[f]]) + 1

@@ -1,5 +1,6 @@
 """Own ensembles: growth against plain evaluation, statistics without leaks, training with them."""
 
+import math
 import random
 
 import numpy as np
@@ -122,6 +123,20 @@ def test_catalogue_is_complete():
     assert len(T.catalogue(True)) == 5 and len(T.catalogue(False)) == 11
 
 
+def test_adaboost_rounds_keep_a_row_a_row(spark, monkeypatch):
+    """A round counts by arrays: no row becomes one row per feature; rows without a label have no mass."""
+    from attrix.operators import train as T
+
+    def refuse(*_):
+        raise AssertionError("rows are multiplied")
+
+    df = spark.createDataFrame([(float(i), float(i % 4), None if i == 5 else int(i > 20)) for i in range(40)], "a double, b double, y int")
+    monkeypatch.setattr(T.F, "explode", refuse)
+    model = T.adaboost(df, ["a", "b"], "y", rounds=5)
+    feature, _, polarity, alpha = model.stumps[0]
+    assert (feature, polarity) == (0, 1) and alpha == pytest.approx(math.log(38))   # no edge of a bin is at 20: one of 39 rows is wrong
+
+
 def test_boosting_reads_stored_rows_in_few_tasks(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
