@@ -21,6 +21,9 @@ link, and all that are close to the threshold; these are verified. Where compone
 that may link is verified. So no link between different texts is lost for the components, and copies or near
 copies in thousands need no quadratic output.
 
+Disk: signatures meet, and their nodes are compared in tiles, in passes over shares of the signatures; whole sets are made for the pairs whose bitmaps leave a link
+possible, in passes over shares of the pairs. A pass shuffles its share, writes what it found and frees the rest.
+
 Edge cases: a document with fewer words than a shingle has one shingle, its whole sequence; one without words (or with
 a null text) has the empty set and links with nothing; a null id links with nothing and has a null component; repeated
 rows get one result row each (an id is taken to name one text); an empty table gives an empty result; other columns are ignored.
@@ -31,10 +34,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm.common import Rolling, distinct, documents, release, scrambled, shuffle_partitions, stored, words_of
@@ -53,6 +57,8 @@ TILE = 1024
 CLOSE = 1.0
 #: Partners of one node that are verified together, and bytes of sets per verifying group.
 PARTNERS, GROUP_BYTES = 256, 4 << 20
+#: Passes over the signatures, and over the pairs whose whole sets are compared.
+PASSES = 4
 #: Ids that a semi-join broadcasts at most (8 bytes each); beyond it the text is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -173,11 +179,11 @@ def _scan(percent: int, documents: int, words: int):
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set: bit i tells whether an odd number of shingles fall on i. A power of two of 64-bit words.
+    """Parity bitmap of a set: bit i tells whether an odd number of shingles fall on i. A power of two of 64-bit words, 2 to 4 bits a shingle.
 
     Two bitmaps differ in at most as many bits as the sets differ in shingles, also when a larger one is folded.
     """
-    bits = 64 << max(0, (len(shingles) - 1) // 8).bit_length()
+    bits = 64 << max(0, (len(shingles) - 1) // 32).bit_length()
     odd = np.bincount((scrambled(shingles ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -186,16 +192,24 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
-def _sets(words: int):
+def _sets(words: int, payload: str):
+    """(node, key, payload): the whole set ("shingles") or its size and bitmap ("bits")."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(text, words) for text in batch.column("text").to_pylist()]
+            made = [s.tobytes() if payload == "shingles" else len(s).to_bytes(8, "little") + parity_bits(s).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([set_key(set_digest(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
-                pa.array([len(s).to_bytes(8, "little") + parity_bits(s).tobytes() for s in found], pa.binary())], ["node", "key", "shingles", "bits"])
+                batch.column("doc_id"), pa.array([set_key(set_digest(s)) for s in found], pa.int64()), pa.array(made, pa.binary())], ["node", "key", payload])
     return sets
 
 
+def sets_of(docs: DataFrame, repeated: bool, nodes: DataFrame, words: int, payload: str) -> DataFrame:
+    """The sets of the nodes, made from their texts and stored; texts are shuffled only if some id has several rows."""
+    found = matching_ids(docs, nodes.select(F.col("node").alias("doc_id")))
+    return stored((found.dropDuplicates(["doc_id"]) if repeated else found)
+                  .mapInArrow(_sets(words, payload), f"node long, key long, {payload} binary"), payload)
+
+
 def _may_link(percent: int):
     """Key pairs whose sizes and parity bitmaps leave a link possible."""
     def may_link(a: bytes, b: bytes) -> bool:
@@ -321,15 +335,29 @@ def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything:
             .groupBy("g").applyInArrow(_tile_pairs(percent, everything), "a long, b long").distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): node pairs of the key pairs (a, b) whose sets are similar enough; bitmaps spare most of the whole sets."""
-    pairs = stored(pairs.distinct(), "pairs")
-    likely = stored(compared(pairs, sets, "bits", _may_link(percent), "key"), "likely")
-    links = stored(compared(likely, sets, "shingles", _do_link(percent), "node"), "links")
-    release(pairs, likely)
+def share(column: str, k: int) -> Column:
+    """Rows of pass k."""
+    return F.pmod(F.xxhash64(column, F.lit(1)), F.lit(PASSES)) == k
+
+
+def verified(likely: DataFrame, docs: DataFrame, repeated: bool, nodes: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """(a, b): node pairs of the key pairs (a, b) whose whole sets are similar enough; a table per pass."""
+    links = []
+    for k in range(PASSES):
+        pairs = stored(likely.where(share("a", k)), "pairs")
+        if not pairs.isEmpty():
+            keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            sets = sets_of(docs, repeated, nodes.join(keys, "key"), words, "shingles")
+            links.append(stored(compared(pairs, sets, "shingles", _do_link(percent), "node"), "links"))
+            release(sets)
+        release(pairs)
     return links
 
 
+def all_of(links: list[DataFrame], spark: SparkSession) -> DataFrame:
+    return reduce(DataFrame.unionByName, links) if links else spark.createDataFrame([], "a long, b long")
+
+
 def matching_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of docs whose id is (or, by "left_anti", is not) in ids.
 
@@ -344,36 +372,47 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = documents(docs, id_col, text_col)
     scanned = stored(docs.mapInArrow(_scan(percent, docs.count(), words), "doc_id long, n_shingles long, digest binary, key long, signature long, whole boolean"), "sets")
     table = stored(scanned.where("signature is null").select("doc_id", "n_shingles", "digest", "key"), "documents")
-    signatures = scanned.where("signature is not null").select("signature", "key", "whole")
     classes = stored(table.where("doc_id is not null and n_shingles > 0").groupBy("digest", "key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    shared = stored(signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
-                    .where("pivot < last and whole").select("signature", "pivot"), "shared")
-    groups = hits = stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures")
-    release(scanned, shared)
+    parts = []
+    for k in range(PASSES):
+        signatures = scanned.where("signature is not null").where(share("signature", k)).select("signature", "key", "whole")
+        shared = stored(signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
+                        .where("pivot < last and whole").select("signature", "pivot"), "shared")
+        parts.append(stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures"))
+        release(shared)
+    groups = reduce(DataFrame.unionByName, parts)
+    release(scanned)
 
     keys = groups.select("key").distinct()
     nodes = stored(classes.join(keys, "key").select("key", "node"), "nodes")
-    sets = stored(matching_ids(docs.where("doc_id is not null"), nodes.select(F.col("node").alias("doc_id")))
-                  .dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "node long, key long, shingles binary, bits binary"), "shingles")
+    docs = docs.where("doc_id is not null")
+    repeated = not table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    sets = sets_of(docs, repeated, nodes, words, "bits")
 
-    links = verified(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")), sets, percent)
-    parts = stored(connected_components(links), "components")
-    groups = groups.where("key != pivot").select("signature", "key")
+    pairs = stored(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    likely = stored(compared(pairs, sets, "bits", _may_link(percent), "key"), "likely")
+    release(pairs)
+    links = verified(likely, docs, repeated, nodes, words, percent)
+    release(likely)
+    components = stored(connected_components(all_of(links, docs.sparkSession)), "components")
+    groups, hits = groups.where("key != pivot").select("signature", "key"), parts
     for everything in (False, True):
-        where = nodes.join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("part"))
+        where = nodes.join(components, "node", "left").select("key", F.coalesce("component", "node").alias("part"))
         there = groups.join(where, "key")
         apart = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("signature", "n")
         groups = stored(there.join(apart, "signature"), "apart")
-        release(hits)
-        hits = groups
+        release(*hits)
+        hits = [groups]
         if groups.isEmpty():
             break
-        likely = stored(possible_pairs(groups, sets, percent, everything), "likely")
-        links = stored(links.unionByName(compared(likely, sets, "shingles", _do_link(percent), "node")), "links")
-        parts = stored(connected_components(links), "components")
+        found = [stored(possible_pairs(groups.where(share("signature", k)), sets, percent, everything), "found") for k in range(PASSES)]
+        likely = stored(all_of(found, docs.sparkSession).distinct(), "likely")
+        release(*found)
+        links += verified(likely, docs, repeated, nodes, words, percent)
+        components = stored(connected_components(all_of(links, docs.sparkSession)), "components")
         release(likely)
         groups = groups.select("signature", "key")
-    release(sets, hits)
-    chosen = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    release(sets, *hits, *links)
+    chosen = classes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (table.join(chosen, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

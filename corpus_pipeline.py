@@ -16,7 +16,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attrix.llm.common import restored, stored
+from attrix.llm.common import release, restored, stored
 from attrix.llm.packing import pack
 from attrix.llm.pii_boost import find_pii
 from attrix.llm.rule_ensemble import rule_ensemble
@@ -68,6 +68,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = read_table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        # What a stage wrote is read by the next one only.
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
