@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from attrix.llm.common import release, stored
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node that hangs on another one hangs on no second one and carries none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("carries")).unionAll(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("carries")))
+    sums = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries"))
+    return not sums.agg(F.max(F.expr("hangs > 1 or hangs + carries > 1")).alias("x")).first()["x"]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of (a, b) the least node that its edges reach.
 
@@ -18,21 +26,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
                    .where("a > b").distinct(), "edges")
-    state = None
-    while True:
+    # Edges point downwards, so the centre of a star is the least node of its component.
+    while not _all_stars(edges):
         before = edges
         # Large star: each neighbour above a node moves to the least neighbour of that node (or the node itself).
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         # Small star: a node and its neighbours below it move to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = stored(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a > b").distinct(), "edges")
         release(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -22,7 +22,8 @@ that may link is verified. So no link between different texts is lost for the co
 copies in thousands need no quadratic output.
 
 Disk: signatures meet, and their nodes are compared in tiles, in passes over shares of the signatures; whole sets are made for the pairs whose bitmaps leave a link
-possible, in passes over shares of the pairs. A pass shuffles its share, writes what it found and frees the rest.
+possible, in passes over shares of the pairs. A pass shuffles its share, writes what it found and frees the rest; small tables
+need one pass over tiles and whole sets.
 
 Edge cases: a document with fewer words than a shingle has one shingle, its whole sequence; one without words (or with
 a null text) has the empty set and links with nothing; a null id links with nothing and has a null component; repeated
@@ -57,8 +58,8 @@ TILE = 1024
 CLOSE = 1.0
 #: Partners of one node that are verified together, and bytes of sets per verifying group.
 PARTNERS, GROUP_BYTES = 256, 4 << 20
-#: Passes over the signatures, and over the pairs whose whole sets are compared.
-PASSES = 4
+#: Passes over the signatures, and over the pairs whose bitmaps or whole sets are compared: as many as bring a pass to ``PASS_BYTES``, this many at most.
+PASSES, PASS_BYTES = 4, 256 << 20
 #: Ids that a semi-join broadcasts at most (8 bytes each); beyond it the text is shuffled.
 BROADCAST_IDS = 500_000
 
@@ -248,13 +249,21 @@ def _compare(test, result: str):
     return compare
 
 
-def groups_for(sent: DataFrame, sets: DataFrame, payload: str) -> int:
-    """Groups of about ``GROUP_BYTES`` for payloads of which each (key, times) row sends so many copies."""
+def bytes_sent(sent: DataFrame, sets: DataFrame, payload: str) -> int:
+    """Bytes of the payloads of which each (key, times) row sends so many copies."""
     sizes = sets.select("key", F.octet_length(payload).alias("bytes"))
-    size = sent.groupBy("key").agg(F.sum("times").alias("times")).join(sizes, "key").agg(F.sum(F.col("times") * F.col("bytes")).alias("n")).first()["n"] or 0
+    return sent.groupBy("key").agg(F.sum("times").alias("times")).join(sizes, "key").agg(F.sum(F.col("times") * F.col("bytes")).alias("n")).first()["n"] or 0
+
+
+def groups_for(size: int, sets: DataFrame) -> int:
+    """Groups of about ``GROUP_BYTES`` for payloads of this size."""
     return max(4 * shuffle_partitions(sets.sparkSession), -(-size // GROUP_BYTES))
 
 
+def passes_for(size: int) -> int:
+    return min(PASSES, max(1, -(-size // PASS_BYTES)))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str) -> DataFrame:
     """(a, b): ``result`` of the sets whose key pairs (a, b) pass the test on their payloads.
 
@@ -262,7 +271,7 @@ def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str)
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     sent = parts.select(F.col("a").alias("key"), F.col("parts").alias("times")).unionAll(pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("times")))
-    groups = groups_for(sent, sets, payload)
+    groups = groups_for(bytes_sent(sent, sets, payload), sets)
     pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     group = F.pmod(F.xxhash64("a", "part"), F.lit(groups)).cast("int").alias("g")
     # Both sides read one table; aliases tell them apart.
@@ -324,33 +333,42 @@ def _tile_pairs(percent: int, everything: bool):
     return tile_pairs
 
 
-def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """(a, b): key pairs to verify among the nodes (signature, key, part, n) of signatures with several components."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = groups.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+def tiles() -> Column:
+    return F.ceil(F.col("n") / TILE).cast("int")
+
+
+def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything: bool, size: int | None = None) -> DataFrame:
+    """(a, b): key pairs to verify among the nodes (signature, key, part, n) of signatures with several components.
+
+    ``size``: bytes of bitmaps that their tiles get, if known.
+    """
+    dealt = groups.withColumn("tiles", tiles()).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .select("signature", "key", "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
-    shards = groups_for(groups.select("key", tiles.alias("times")), sets, "bits")
+    shards = groups_for(bytes_sent(groups.select("key", tiles().alias("times")), sets, "bits") if size is None else size, sets)
     return (dealt.join(sets.select("key", "bits"), "key").withColumn("g", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(shards)).cast("int"))
             .groupBy("g").applyInArrow(_tile_pairs(percent, everything), "a long, b long").distinct())
 
 
-def share(column: str, k: int) -> Column:
+def share(column: str, k: int, passes: int) -> Column:
     """Rows of pass k."""
-    return F.pmod(F.xxhash64(column, F.lit(1)), F.lit(PASSES)) == k
+    return F.pmod(F.xxhash64(column, F.lit(1)), F.lit(passes)) == k
 
 
-def verified(likely: DataFrame, docs: DataFrame, repeated: bool, nodes: DataFrame, words: int, percent: int) -> list[DataFrame]:
-    """(a, b): node pairs of the key pairs (a, b) whose whole sets are similar enough; a table per pass."""
-    links = []
-    for k in range(PASSES):
-        pairs = stored(likely.where(share("a", k)), "pairs")
-        if not pairs.isEmpty():
+def verified(likely: DataFrame, set_bytes: float, docs: DataFrame, repeated: bool, nodes: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """(a, b): node pairs of the key pairs (a, b) whose whole sets, of about ``set_bytes`` each, are similar enough; a table per pass."""
+    links, count = [], likely.count()
+    passes = passes_for(int(2 * count * set_bytes))
+    for k in range(passes if count else 0):
+        pairs = stored(likely.where(share("a", k, passes)), "pairs") if passes > 1 else likely
+        if passes == 1 or not pairs.isEmpty():
             keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-            sets = sets_of(docs, repeated, nodes.join(keys, "key"), words, "shingles")
+            met = stored(nodes.join(keys, "key"), "met")
+            sets = sets_of(docs, repeated, met, words, "shingles")
             links.append(stored(compared(pairs, sets, "shingles", _do_link(percent), "node"), "links"))
-            release(sets)
-        release(pairs)
+            release(sets, met)
+        if passes > 1:
+            release(pairs)
     return links
 
 
@@ -375,7 +393,7 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(table.where("doc_id is not null and n_shingles > 0").groupBy("digest", "key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     parts = []
     for k in range(PASSES):
-        signatures = scanned.where("signature is not null").where(share("signature", k)).select("signature", "key", "whole")
+        signatures = scanned.where("signature is not null").where(share("signature", k, PASSES)).select("signature", "key", "whole")
         shared = stored(signatures.groupBy("signature").agg(F.min("key").alias("pivot"), F.max("key").alias("last"), F.max("whole").alias("whole"))
                         .where("pivot < last and whole").select("signature", "pivot"), "shared")
         parts.append(stored(signatures.join(shared, "signature").select("signature", "key", "pivot").distinct(), "signatures"))
@@ -388,13 +406,16 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.where("doc_id is not null")
     repeated = not table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     sets = sets_of(docs, repeated, nodes, words, "bits")
+    # A bitmap has 2 to 4 bits for the 8 bytes of a shingle.
+    set_bytes = 32 * (sets.agg(F.avg(F.octet_length("bits")).alias("n")).first()["n"] or 0)
 
     pairs = stored(groups.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     likely = stored(compared(pairs, sets, "bits", _may_link(percent), "key"), "likely")
     release(pairs)
-    links = verified(likely, docs, repeated, nodes, words, percent)
+    links = verified(likely, set_bytes, docs, repeated, nodes, words, percent)
     release(likely)
     components = stored(connected_components(all_of(links, docs.sparkSession)), "components")
+    release(*links)
     groups, hits = groups.where("key != pivot").select("signature", "key"), parts
     for everything in (False, True):
         where = nodes.join(components, "node", "left").select("key", F.coalesce("component", "node").alias("part"))
@@ -405,14 +426,20 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hits = [groups]
         if groups.isEmpty():
             break
-        found = [stored(possible_pairs(groups.where(share("signature", k)), sets, percent, everything), "found") for k in range(PASSES)]
-        likely = stored(all_of(found, docs.sparkSession).distinct(), "likely")
-        release(*found)
-        links += verified(likely, docs, repeated, nodes, words, percent)
-        components = stored(connected_components(all_of(links, docs.sparkSession)), "components")
-        release(likely)
+        size = bytes_sent(groups.select("key", tiles().alias("times")), sets, "bits")
+        passes = passes_for(size)
+        found = [stored(possible_pairs(groups.where(share("signature", k, passes)), sets, percent, everything, size // passes), "found") for k in range(passes)]
+        # A pair may be found in several passes.
+        likely = stored(all_of(found, docs.sparkSession).distinct(), "likely") if passes > 1 else found[0]
+        links = verified(likely, set_bytes, docs, repeated, nodes, words, percent)
+        release(*found, *([likely] if passes > 1 else []))
+        if links:
+            before = components
+            stars = before.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = stored(connected_components(all_of([stars, *links], docs.sparkSession)), "components")
+            release(before, *links)
         groups = groups.select("signature", "key")
-    release(sets, *hits, *links)
+    release(sets, *hits)
     chosen = classes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (table.join(chosen, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

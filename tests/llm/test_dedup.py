@@ -223,3 +223,35 @@ def test_empty_tables(spark, call):
 
 def test_empty_embeddings(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_small_tables_need_one_pass_and_stars_no_round(spark, monkeypatch):
+    from attrix.llm import components
+
+    seen = {}
+
+    def counting(module):
+        keep = module.stored
+
+        def counted(df, name):
+            seen[name] = seen.get(name, 0) + 1
+            return keep(df, name)
+        monkeypatch.setattr(module, "stored", counted)
+    counting(join)
+    counting(components)
+    data = near_copies(25, 11)
+    got = join.shingle_join(spark.createDataFrame(data, "doc_id long, text string"))
+    assert ordered(got.collect()) == ordered(cases.plain_components(data))
+    # Whole sets are made once for the stars and once for each way of taking up signatures again, not once per pass.
+    assert seen["signatures"] == join.PASSES and seen["shingles"] <= 3 and seen["found"] <= 2
+    seen.clear()
+    stars = spark.createDataFrame([(k % 3, 10 + k) for k in range(50)], "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(stars).collect()} == {k % 3: k % 3 for k in range(3)} | {10 + k: k % 3 for k in range(50)}
+    assert seen == {"edges": 1}
+
+
+def test_passes_over_pairs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(join, "PASS_BYTES", 1)
+    data = near_copies(25, 11)
+    got = join.shingle_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert ordered(got) == ordered(cases.plain_components(data))
