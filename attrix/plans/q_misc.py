@@ -84,7 +84,7 @@ def documents_scan(spark, sf):
     """Documents written one file per document, scanned back recursively (whole text)."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     root = A.scratch_path(spark, "docs")
-    docs.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\u0000").text(root)
+    A.write_documents(docs, root, "doc_id")
     scanned = A.read_documents(spark, root)
     doc_id = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
     text = F.regexp_replace("text", "\u0000$", "")

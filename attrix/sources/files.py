@@ -24,6 +24,8 @@ CSV_EXT = (".csv", ".txt")
 PARQUET_EXT = (".parquet", ".pq")
 DOC_EXT = ("md", "txt", "markdown")
 SEPARATORS = (",", ";", "\t", "|")
+#: Files in a shard folder of written documents, about.
+SHARD_FILES = 1000
 
 # Windows-1252 characters of the bytes 0x80-0x9F (0x81, 0x8D, 0x8F,
 # 0x90 and 0x9D are undefined and stay as they are).
@@ -162,6 +164,16 @@ def newest_dataset(spark: SparkSession, root: str, features: list[str] | None =
     return cands[0][0]
 
 
+def write_documents(docs: DataFrame, path: str, id_col: str) -> None:
+    """One text file per id, in a folder ``<id_col>=<id>`` of one of many shards; each text ends with a zero byte.
+
+    A task writes whole shards, so the commit moves shards, not single folders, and a scan lists the shards in parallel tasks.
+    """
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_FILES))
+    (docs.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).repartition(shards, "shard")
+     .write.partitionBy("shard", id_col).option("lineSep", "\u0000").text(path))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text); blank files are left out."""
     glob = "*.{" + ",".join(DOC_EXT) + "}"

@@ -156,3 +156,21 @@ def test_blank_documents_are_left_out(spark, tmp_path):
     for name, text in (("a.md", "# T\n\nwords"), ("b.txt", " \n\t \n"), ("in/c.markdown", ""), ("in/d.txt", "\n x \n"), ("e.csv", "no")):
         (tmp_path / name).write_text(text, encoding="utf-8")
     assert sorted(r["text"] for r in read_documents(spark, str(tmp_path)).collect()) == ["\n x \n", "# T\n\nwords"]
+
+
+def test_written_documents_lie_in_shards_one_file_per_id(spark, tmp_path):
+    from attrix.sources import files
+
+    rows = [(i, f"text {i}\nof two lines") for i in range(300)] + [(7, "once more"), (None, "no id")]
+    root = str(tmp_path / "docs")
+    files.write_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), root, "doc_id")
+    # Folders are moved and listed one by one at the top; there are as many as shards, not as documents.
+    assert len([p for p in (tmp_path / "docs").iterdir() if p.is_dir()]) <= 8
+    assert len(list((tmp_path / "docs").rglob("*.txt"))) == 301
+    back = {}
+    for r in files.read_documents(spark, root).collect():
+        back.setdefault(r["source"].split("doc_id=")[1].split("/")[0], []).append(sorted(r["text"].strip("\0").split("\0")))
+    expected = {}
+    for i, t in rows:
+        expected.setdefault("__HIVE_DEFAULT_PARTITION__" if i is None else str(i), []).append(t)
+    assert back == {k: [sorted(v)] for k, v in expected.items()}
