@@ -17,8 +17,8 @@ Copies are one node of the join. Signatures that two different sets have give ca
 signature is compared with the others (a star, not all pairs), pairs are verified on the whole sets, and components are
 built. Signatures whose nodes then lie in different components are taken up again, in tiles of bounded size: a task
 compares the parity bitmaps of all nodes of different components and emits a spanning forest of the pairs that may
-link, and all that are close to the threshold; these are verified. Where components still differ afterwards, every pair
-that may link is verified. So no link between different texts is lost for the components, and copies or near
+link, and all that are close to the threshold; these are verified. Where components still differ afterwards, signatures
+of which pairs were left out are gone through again, and these pairs are verified. So no link between different texts is lost for the components, and copies or near
 copies in thousands need no quadratic output.
 
 Disk: signatures meet, and their nodes are compared in tiles, in passes over shares of the signatures; whole sets are made for the pairs whose bitmaps leave a link
@@ -285,7 +285,8 @@ def compared(pairs: DataFrame, sets: DataFrame, payload: str, test, result: str)
 def _tile_pairs(percent: int, everything: bool):
     """(a, b): keys of nodes of one signature and different components whose bitmaps leave a link possible.
 
-    Unless ``everything`` is wanted, a spanning forest of them, the likeliest first, and all that are close to the bound.
+    First a spanning forest of them, the likeliest first, and all that are close to the bound; (signature, null) tells that
+    pairs of that signature were left out. ``everything``: all that are not close, as the close ones went before.
     """
     def near(mine: np.ndarray, other: np.ndarray, words: np.ndarray, sizes: np.ndarray, part: np.ndarray, same: bool) -> list[tuple[float, int, int]]:
         found = []
@@ -306,7 +307,7 @@ def _tile_pairs(percent: int, everything: bool):
         signature, i, j, tile, key, part = (table[c].to_numpy() for c in ("signature", "i", "j", "tile", "key", "part"))
         bits = table["bits"].to_pylist()
         cut = np.flatnonzero(np.concatenate([[True], (signature[1:] != signature[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        pairs = set()
+        pairs, left_out = set(), set()
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
             if len(np.unique(part[lo:hi])) < 2:
                 continue
@@ -326,10 +327,15 @@ def _tile_pairs(percent: int, everything: bool):
 
             for slack, x, y in sorted(found, reverse=True):
                 p, q = top(int(parts[x])), top(int(parts[y]))
+                if everything and slack < CLOSE:
+                    continue
                 if everything or p != q or slack < CLOSE:
                     pairs.add((int(min(here[x], here[y])), int(max(here[x], here[y]))))
                     root[p] = q
-        return pa.table([pa.array(x, pa.int64()) for x in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
+                else:
+                    left_out.add((int(signature[lo]), None))
+        rows = [*pairs, *left_out]
+        return pa.table([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), ()))], ["a", "b"])
     return tile_pairs
 
 
@@ -337,16 +343,33 @@ def tiles() -> Column:
     return F.ceil(F.col("n") / TILE).cast("int")
 
 
-def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything: bool, size: int | None = None) -> DataFrame:
-    """(a, b): key pairs to verify among the nodes (signature, key, part, n) of signatures with several components.
+def dealt_tiles(groups: DataFrame, sets: DataFrame, size: int | None, near: str) -> DataFrame:
+    """(signature, key, part, tile, i, j, g): the nodes of every tile, with the group that compares it.
 
-    ``size``: bytes of bitmaps that their tiles get, if known.
+    A pair may share very many signatures. Those of one ``near``, a column of the nodes, meet in as few groups as their
+    bytes allow, and a group finds the pair once.
     """
-    dealt = groups.withColumn("tiles", tiles()).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = groups.withColumn("near", F.col(near)).withColumn("tiles", tiles()).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     dealt = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("signature", "key", "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
-    shards = groups_for(bytes_sent(groups.select("key", tiles().alias("times")), sets, "bits") if size is None else size, sets)
-    return (dealt.join(sets.select("key", "bits"), "key").withColumn("g", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(shards)).cast("int"))
+             .select("near", "signature", "key", "part", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    size = bytes_sent(groups.select("key", tiles().alias("times")), sets, "bits") if size is None else size
+    sent = groups.groupBy(F.col(near).alias("near")).agg(F.sum(tiles()).alias("times"))
+    total = sent.agg(F.sum("times").alias("n")).first()["n"] or 1
+    # Only what exceeds a group is listed and broadcast, so the list is shorter than that of the groups.
+    split = sent.select("near", F.ceil(F.col("times") * (size / total / GROUP_BYTES)).alias("splits")).where("splits > 1")
+    shards = F.lit(groups_for(size, sets))
+    # Neighbouring groups, so that no two parts of one split meet again.
+    part = F.pmod(F.xxhash64("signature", "i", "j"), F.coalesce("splits", F.lit(1)))
+    return dealt.join(F.broadcast(split), "near", "left").withColumn("g", F.pmod(F.pmod(F.xxhash64("near"), shards) + part, shards).cast("int")).drop("near", "splits")
+
+
+def possible_pairs(groups: DataFrame, sets: DataFrame, percent: int, everything: bool, size: int | None = None, near: str = "signature") -> DataFrame:
+    """(a, b): key pairs to verify among the nodes (signature, key, part, n) of signatures with several components, and
+    (signature, null) where pairs were left out.
+
+    ``size``: bytes of bitmaps that their tiles get, if known.
+    """
+    return (dealt_tiles(groups, sets, size, near).join(sets.select("key", "bits"), "key")
             .groupBy("g").applyInArrow(_tile_pairs(percent, everything), "a long, b long").distinct())
 
 
@@ -420,7 +443,8 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for everything in (False, True):
         where = nodes.join(components, "node", "left").select("key", F.coalesce("component", "node").alias("part"))
         there = groups.join(where, "key")
-        apart = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("signature", "n")
+        apart = there.groupBy("signature").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("key").alias("pivot"), F.count("*").alias("n"))
+        apart = apart.where("lo < hi").select("signature", "pivot", "n")
         groups = stored(there.join(apart, "signature"), "apart")
         release(*hits)
         hits = [groups]
@@ -428,17 +452,20 @@ def shingle_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         size = bytes_sent(groups.select("key", tiles().alias("times")), sets, "bits")
         passes = passes_for(size)
-        found = [stored(possible_pairs(groups.where(share("signature", k, passes)), sets, percent, everything, size // passes), "found") for k in range(passes)]
+        found = [stored(possible_pairs(groups.where(share("signature", k, passes)), sets, percent, everything, size // passes, "pivot"), "found") for k in range(passes)]
         # A pair may be found in several passes.
-        likely = stored(all_of(found, docs.sparkSession).distinct(), "likely") if passes > 1 else found[0]
+        likely = stored(all_of(found, docs.sparkSession).where("b is not null").distinct(), "likely")
+        # All pairs of the other signatures are among the likely ones.
+        left_out = stored(all_of(found, docs.sparkSession).where("b is null").select(F.col("a").alias("signature")), "left_out")
+        release(*found)
         links = verified(likely, set_bytes, docs, repeated, nodes, words, percent)
-        release(*found, *([likely] if passes > 1 else []))
+        release(likely)
         if links:
             before = components
             stars = before.select(F.col("node").alias("a"), F.col("component").alias("b"))
             components = stored(connected_components(all_of([stars, *links], docs.sparkSession)), "components")
             release(before, *links)
-        groups = groups.select("signature", "key")
+        groups, hits = groups.join(left_out, "signature").select("signature", "key"), [*hits, left_out]
     release(sets, *hits)
     chosen = classes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (table.join(chosen, "digest", "left")

@@ -255,3 +255,34 @@ def test_passes_over_pairs_lose_no_link(spark, monkeypatch):
     data = near_copies(25, 11)
     got = join.shingle_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert ordered(got) == ordered(cases.plain_components(data))
+
+
+def test_second_look_at_tiles_takes_what_the_first_left_out(spark, monkeypatch):
+    # Two clusters and texts that collide on a few words; most signatures are done after the first look.
+    rng = random.Random(8)
+    data = near_copies(25, 12) + [(9000 + i, "so it goes on " + cases.prose(rng, 30)) for i in range(40)]
+    seen, pairs = [], join.possible_pairs
+
+    def counted(groups, sets, percent, everything, *rest):
+        out = pairs(groups, sets, percent, everything, *rest)
+        seen.append((everything, groups.select("signature").distinct().count(), out.where("b is null").count()))
+        return out
+    monkeypatch.setattr(join, "possible_pairs", counted)
+    got = join.shingle_join(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert ordered(got) == ordered(cases.plain_components(data))
+    first, second = [x for x in seen if not x[0]], [x for x in seen if x[0]]
+    assert first and sum(x[1] for x in second) <= sum(x[2] for x in first) < sum(x[1] for x in first)
+    assert not any(x[2] for x in second)
+
+
+def test_pairs_of_many_signatures_are_found_once_a_group(spark, monkeypatch):
+    # 30 nodes share 50 signatures; all bitmaps are alike but for a bit or two.
+    nodes, bits = range(30), [(40).to_bytes(8, "little") + bytes([1 << i % 8, i // 8] + [0] * 14) for i in range(30)]
+    sets = spark.createDataFrame([(k, k, bits[k]) for k in nodes], "key long, node long, bits binary")
+    groups = spark.createDataFrame([(s, k, k, 0, 30) for s in range(50) for k in nodes], "signature long, key long, part long, pivot long, n long")
+    assert join.dealt_tiles(groups, sets, None, "pivot").select("g").distinct().count() == 1
+    found = join.possible_pairs(groups, sets, 80, True, None, "pivot")
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(i, j) for i in nodes for j in range(i + 1, 30)}
+    # What is more than a group holds is split.
+    monkeypatch.setattr(join, "GROUP_BYTES", 24 * 30 * 10)
+    assert 2 <= join.dealt_tiles(groups, sets, None, "pivot").select("g").distinct().count() <= 5
