@@ -10,13 +10,19 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import re
+import shutil
 import uuid
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, settings, shuffles_freed
 from .tables import nan_to_null
 
 # Accepted extensions per reader.
@@ -26,6 +32,8 @@ DOC_EXT = ("md", "txt", "markdown")
 SEPARATORS = (",", ";", "\t", "|")
 #: Files in a shard folder of written documents, about.
 SHARD_FILES = 1000
+#: Texts in a batch sent to the task that writes them, and bytes of texts in a batch that comes from a scan.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 # Windows-1252 characters of the bytes 0x80-0x9F (0x81, 0x8D, 0x8F,
 # 0x90 and 0x9D are undefined and stay as they are).
@@ -164,21 +172,136 @@ def newest_dataset(spark: SparkSession, root: str, features: list[str] | None =
     return cands[0][0]
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme if it is in a folder that the driver and all executors mount; None for other stores."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.makeQualified(p).toUri().getPath() if fs.getScheme() == "file" else None
+
+
 def write_documents(docs: DataFrame, path: str, id_col: str) -> None:
     """One text file per id, in a folder ``<id_col>=<id>`` of one of many shards; each text ends with a zero byte.
 
     A task writes whole shards, so the commit moves shards, not single folders, and a scan lists the shards in parallel tasks.
+    Into a mounted folder the tasks write by themselves: Spark's writer starts several processes per file there, to set modes.
     """
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_FILES))
-    (docs.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).repartition(shards, "shard")
-     .write.partitionBy("shard", id_col).option("lineSep", "\u0000").text(path))
+    spark = docs.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_FILES))
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    root = _local(spark, path)
+    if root is None:
+        dealt.write.partitionBy("shard", id_col).option("lineSep", "\u0000").text(path)
+        return
+    os.makedirs(root)   # as errorifexists
+    text = next(c for c in docs.columns if c != id_col)
+    rows = dealt.select("shard", F.col(id_col).cast("string").alias("id"), F.col(text).cast("binary").alias("text")).sortWithinPartitions("shard", "id")
+    with shuffles_freed(spark), settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        rows.mapInArrow(lambda batches: _written(batches, root, id_col), "shard int").write.format("noop").mode("overwrite").save()
+    shutil.rmtree(f"{root}/_temporary", ignore_errors=True)
+    open(f"{root}/_SUCCESS", "w").close()
+
+
+#: Characters that Spark's writer escapes in the names of partition folders.
+_ESCAPES = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+
+
+def _written(batches: Iterator[pa.RecordBatch], root: str, id_col: str) -> Iterator[pa.RecordBatch]:
+    """Write rows sorted by shard and id; a shard gets its name when it is whole, from the first attempt that has it so."""
+    attempt = f"{root}/_temporary/{uuid.uuid4().hex}"
+    at = name = out = None
+
+    def finish() -> None:
+        if out is not None:
+            out.close()
+        if at is not None:
+            try:
+                os.rename(f"{attempt}/shard={at}", f"{root}/shard={at}")
+            except OSError:
+                if not os.path.isdir(f"{root}/shard={at}"):
+                    raise
+
+    for batch in batches:
+        for shard, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            folder = f"{id_col.translate(_ESCAPES)}={key.translate(_ESCAPES) if key else '__HIVE_DEFAULT_PARTITION__'}"
+            if shard != at:
+                finish()
+                at, name, out = shard, None, None
+                os.makedirs(f"{attempt}/shard={shard}")
+            if folder != name:
+                if out is not None:
+                    out.close()
+                name = folder
+                os.mkdir(f"{attempt}/shard={shard}/{folder}")
+                out = open(f"{attempt}/shard={shard}/{folder}/part-00000.txt", "wb")
+            out.write((text or b"") + b"\0")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["shard"])
+    finish()
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's scans leave out."""
+    return name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _wanted(name: str) -> bool:
+    return any(fnmatchcase(name, f"*.{e}") for e in DOC_EXT)
+
+
+def _files(folder: str) -> Iterator[str]:
+    """Documents at any depth below a folder."""
+    for e in os.scandir(folder):
+        if not _hidden(e.name):
+            if e.is_dir():
+                yield from _files(e.path)
+            elif _wanted(e.name):
+                yield e.path
+
+
+def _uri(path: str) -> str:
+    """As in ``_metadata.file_path``."""
+    return "file:" + re.sub(r"[^\w/@,;:$&+=.!~*'()-]", lambda m: quote(m[0]) if m[0] < "\x80" else m[0], path)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, text) of every document in folders or files."""
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["source", "text"])
+
+    rows, size = [], 0
+    for b in batches:
+        for top in b.column(0).to_pylist():
+            for path in _files(top) if os.path.isdir(top) else [top]:
+                with open(path, "rb") as f:
+                    rows.append((_uri(path), f.read()))
+                size += len(rows[-1][1])
+                if size > BATCH_BYTES or len(rows) >= 20 * BATCH_ROWS:
+                    yield batch(rows)
+                    rows, size = [], 0
+    if rows:
+        yield batch(rows)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text); blank files are left out."""
-    glob = "*.{" + ",".join(DOC_EXT) + "}"
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")).where(~F.col("text").rlike(r"(?U)^\s*$"))
+    """Recursive scan of ``.md/.txt/.markdown`` files, one row per file (whole text); blank files are left out.
+
+    Below a mounted folder the driver lists as many levels as give the tasks folders enough; they list the rest and read.
+    Spark's scan, used for other stores, has every single file on the driver and few small files in a task.
+    """
+    root = _local(spark, path)
+    if root is not None and os.path.isdir(root):
+        level, found, enough = [root], [], 2 * spark.sparkContext.defaultParallelism
+        while level and len(level) < enough:
+            inside = [e for folder in level for e in os.scandir(folder) if not _hidden(e.name)]
+            found += [e.path for e in inside if not e.is_dir() and _wanted(e.name)]
+            level = [e.path for e in inside if e.is_dir()]
+        tops = spark.createDataFrame([(p,) for p in sorted(level) + found], "path string")
+        df = tops.repartition(max(1, min(len(level) + len(found), max(enough, len(level))))).mapInArrow(_texts, "source string, text binary")
+        df = df.select("source", F.col("text").cast("string").alias("text"))
+    else:
+        glob = "*.{" + ",".join(DOC_EXT) + "}"
+        df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+        df = df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    return df.where(~F.col("text").rlike(r"(?U)^\s*$"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -174,3 +174,29 @@ def test_written_documents_lie_in_shards_one_file_per_id(spark, tmp_path):
     for i, t in rows:
         expected.setdefault("__HIVE_DEFAULT_PARTITION__" if i is None else str(i), []).append(t)
     assert back == {k: [sorted(v)] for k, v in expected.items()}
+
+
+def test_documents_of_a_mounted_folder_are_written_and_read_by_tasks(spark, tmp_path):
+    from attrix.sources import files
+
+    rows = [("a b", "x"), ("100%", "y"), ("p[1]#{}", "z"), ("é/=", "w\nw"), ("", "no name"), (None, None), ("a b", "again")]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    root = str(tmp_path / "docs")
+    files.write_documents(docs, root, "id")
+    names = lambda top: {p.name for p in top.rglob("id=*")}
+    docs.withColumn("shard", F.lit(0)).coalesce(1).write.partitionBy("shard", "id").option("lineSep", "\0").text(str(tmp_path / "sparks"))
+    assert names(tmp_path / "docs") == names(tmp_path / "sparks")
+    # No file has a companion from Spark's writer, nothing is left of the attempts, and an existing folder is refused.
+    assert {p.name for p in (tmp_path / "docs").rglob("*") if p.is_file()} == {"part-00000.txt", "_SUCCESS"}
+    assert not (tmp_path / "docs/_temporary").exists()
+    with pytest.raises(FileExistsError):
+        files.write_documents(docs, root, "id")
+    # The same names and texts as from Spark's scan.
+    for name in ("_x/a.md", "_y=1/a.md", ".z.md", "in/1 2.md", "in/é#%.txt", "in/more/f.markdown", "in/g.csv", "h._COPYING_", "B.MD"):
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_bytes(b"text \xff " + name.encode())
+    sparks = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt,markdown}")
+    expected = sorted(map(tuple, sparks.select("_metadata.file_path", F.md5("value")).collect()))
+    df = files.read_documents(spark, root)
+    assert len(df.inputFiles()) == 0   # no list of files on the driver
+    assert sorted(map(tuple, df.select("source", F.md5("text")).collect())) == expected and len(expected) == 10
